@@ -20,9 +20,10 @@ from ouvidor.llm.common import materialise, per_text, text_of
 MIN_WORDS, KEEP_AT = 50, 0.5
 _SPACE = b" \t\n\x0b\x0c\r"
 _SYMBOLS = b"#*$%&|<>"
+_TO_HASH = bytes.maketrans(_SYMBOLS, b"#" * len(_SYMBOLS))
 _UPPER = bytes(range(65, 91))
 _LETTERS = bytes([*range(65, 91), *range(97, 123), *range(128, 256)])
-FEATURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_distinct long, n_upper long, n_letters long, n_bangs long"
+FEATURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_distinct long, n_upper long, n_letters long, n_bangs long, n_marked long"
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -57,10 +58,11 @@ def features(text: str) -> tuple:
                 dup += 1
             seen.add(line)
     without = lambda marks: len(raw.translate(None, marks))
+    symbols = len(raw) - without(_SYMBOLS)
     return (
         len(words),
         len(text) - (len(raw) - without(_SPACE)),
-        len(raw) - without(_SYMBOLS),
+        symbols,
         dup,
         repeat_words(words),
         lines,
@@ -68,6 +70,7 @@ def features(text: str) -> tuple:
         len(raw) - without(_UPPER),
         len(raw) - without(_LETTERS),
         raw.count(b"!"),
+        sum(b"#" in w for w in raw.translate(_TO_HASH).split()) if symbols else 0,
     )
 
 
@@ -85,13 +88,14 @@ def rule_votes() -> dict[str, Column]:
     bangs, dups = c("n_bangs") / words, c("n_dup_lines") / lines
     return {
         "symbols": _vote(some & (symbols < 0.02), symbols > 0.1),
+        "marked words": _vote(some & (c("n_marked") < 0.02 * words), c("n_marked") > 0.2 * words),
         "capitals": _vote(some & (upper < 0.1), upper > 0.3),
         "repeats": _vote(some & (repeats < 0.1), repeats > 0.3),
         "variety": _vote(some & (distinct > 0.35), some & (c("n_words") >= 100) & (distinct < 0.12)),
         "lines": _vote((c("n_lines") > 3) & (dups < 0.05), dups > 0.3),
         "bangs": _vote(some & (bangs < 0.02), bangs > 0.1),
         "word length": _vote((length >= 3) & (length <= 9), some & ((length < 2) | (length > 14))),
-        "letters": _vote(some & (c("n_letters") > 2.5 * words), some & (c("n_letters") < 1.5 * words)),
+        "letters": _vote(some & (c("n_letters") > 0.85 * c("word_chars")), some & (c("n_letters") < 0.7 * c("word_chars"))),
     }
 
 

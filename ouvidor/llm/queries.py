@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from ouvidor.llm import bpe, chat, classifier, packing, rules, sketch
+from ouvidor.llm import bpe, chat, classifier, packing, rules, simhash, sketch, suffix
 from ouvidor.llm.common import documents
 
 
@@ -16,6 +16,10 @@ def op2_packing(spark, sf_dir):
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
+def op3_suffix(spark, sf_dir):
+    return suffix.removals(documents(spark, sf_dir))
+
+
 def op4_chat(spark, sf_dir):
     return chat.preference_pairs(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
@@ -24,6 +28,10 @@ def op6_classifier(spark, sf_dir):
     return classifier.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op7_simhash(spark, sf_dir):
+    return simhash.near_duplicates(documents(spark, sf_dir))
+
+
 def op8_rules(spark, sf_dir):
     return rules.judge(documents(spark, sf_dir))
 
@@ -32,5 +40,5 @@ def op9_sketch(spark, sf_dir):
     return sketch.fingerprints(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_packing, op4_chat, op6_classifier, op8_rules, op9_sketch)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_packing, op3_suffix, op4_chat, op6_classifier, op7_simhash, op8_rules, op9_sketch)}
 ORACLES = {"op4_chat": chat.ORACLE}

@@ -7,7 +7,7 @@ with a common prefix of LENGTH bytes are always in one bucket:
    smallest hash. Equal windows have equal anchors at equal offsets, so only windows under one anchor string
    can be equal. A text has an anchor about every (LENGTH - GRAM) / 2 bytes, with the stretch of text that the
    windows under it span (its context).
-2. Anchors whose string occurs once in the corpus are dropped (counts combined on the map side). If all contexts of an
+2. Anchors whose string occurs once in the corpus are dropped (equal contexts are combined before the shuffle). If all contexts of an
    anchor string are equal, all their windows are repeated. Contexts that occur twice or more are repeated too.
 3. The distinct contexts that remain go to enhanced suffix arrays, one for the buckets of a partition at a time:
    sorted by prefix doubling, common-prefix lengths from the doubling ranks, then a stack scan over the lcp
@@ -29,10 +29,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ouvidor.llm.common import free_shuffles, materialise, shuffle_partitions, strings, text_of
+from ouvidor.llm.common import drop_table, free_shuffles, materialise, shuffle_partitions, strings, text_of
 
 LENGTH, GRAM, HOT = 200, 48, 8000
-BUFFER = 1 << 20
+BUFFER, COMBINE = 1 << 20, 200_000
 _BASE = 0x9E3779B97F4A7C15 | 1
 _U = np.uint64
 
@@ -109,7 +109,7 @@ def anchors(codes: np.ndarray, sizes: np.ndarray, length: int = LENGTH, gram: in
     return text, grams[p].view(np.int64), context.view(np.int64), begin, end, p
 
 
-_ANCHOR = "id long, t long, h long, c long, a long, e long, p long"
+_ANCHOR = "id long, t long, h long, c long, a long, e long, n long"
 
 
 def _anchor_rows(length: int, gram: int):
@@ -123,11 +123,21 @@ def _anchor_rows(length: int, gram: int):
         shift = np.array([x[2] for x in held], dtype=np.int64) - (np.cumsum(sizes) - sizes)
         ids = np.array([x[0] for x in held], dtype=np.int64)
         ts = np.array([x[1] for x in held], dtype=np.int64)
-        columns = [ids[text], ts[text], h, c, a + shift[text], e + shift[text], p + shift[text]]
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=names)
+        return ids[text], ts[text], h, c, a + shift[text], e + shift[text]
+
+    def combine(parts):
+        """Of equal contexts the first stands for all, with their number; the others are known to be repeated (n = 0)."""
+        columns = [np.concatenate(x) for x in zip(*parts)]
+        h, c = columns[2], columns[3]
+        order = np.lexsort((c, h))
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = (h[order][1:] != h[order][:-1]) | (c[order][1:] != c[order][:-1])
+        n = np.zeros(len(order), dtype=np.int64)
+        n[order[new]] = np.diff(np.append(np.flatnonzero(new), len(order)))
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in [*columns, n]], names=names)
 
     def run(batches):
-        held, size = [], 0
+        held, size, parts = [], 0, []
         for batch in batches:
             for key, t, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strings(batch.column(2))):
                 raw = text.encode("utf-8")
@@ -137,10 +147,15 @@ def _anchor_rows(length: int, gram: int):
                         held.append((key, t, at, part))
                         size += len(part)
                     if size >= BUFFER:
-                        yield flush(held)
+                        parts.append(flush(held))
                         held, size = [], 0
+                    if sum(len(x[0]) for x in parts) >= COMBINE:
+                        yield combine(parts)
+                        parts = []
         if held:
-            yield flush(held)
+            parts.append(flush(held))
+        if parts:
+            yield combine(parts)
 
     return run
 
@@ -301,12 +316,18 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     spark = docs.sparkSession
     texts = keyed(docs, id_col, text_col)
     marks = materialise(texts.mapInArrow(_anchor_rows(length, gram), _ANCHOR), "anchors")
-    often = marks.groupBy("h").agg(F.count("*").alias("n"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("n > 1")
-    met = materialise(marks.join(often.select("h", (F.col("c0") == F.col("c1")).alias("same")), "h"), "met")
+    often = marks.where("n > 0").groupBy("h").agg(F.sum("n").alias("n"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("n > 1")
+    # written, so that the join deals both sides anew and can split what one anchor string has too much of
+    often = materialise(often.select("h", (F.col("c0") == F.col("c1")).alias("same")), "often")
+    free_shuffles(spark)
+    known = materialise(marks.where("n = 0").select("id", "t", "a", "e"), "known")
+    met = materialise(marks.where("n > 0").join(often, "h"), "met")
+    drop_table(marks)
+    drop_table(often)
     free_shuffles(spark)
     alike = met.where("same").select("id", "t", "a", "e")
     mixed = met.where("not same")
-    distinct = mixed.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("id", "t", "a", "e")).alias("at"))
+    distinct = mixed.groupBy("h", "c").agg(F.sum("n").alias("n"), F.min(F.struct("id", "t", "a", "e")).alias("at"))
     distinct = materialise(distinct, "contexts")
     copied = mixed.join(distinct.where("n > 1").select("h", "c"), ["h", "c"], "left_semi").select("id", "t", "a", "e")
     sizes = distinct.groupBy("h").agg(F.count("*").alias("contexts"), F.min("n").alias("fewest"))
@@ -324,7 +345,11 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     many = cut.where(F.col("contexts") > hot).select("h", "id", "t", "a", F.posexplode(_window_hashes(length)("context")).alias("o", "w"))
     twice = many.groupBy("h", "w").agg(F.count("*").alias("n")).where("n > 1")
     counted = many.join(twice, ["h", "w"], "left_semi").select("id", "t", (F.col("a") + F.col("o")).alias("a"), (F.col("a") + F.col("o") + length).alias("e"))
-    return alike.unionByName(copied).unionByName(sorted_out).unionByName(counted)
+    found = materialise(known.unionByName(alike).unionByName(copied).unionByName(sorted_out).unionByName(counted), "spans")
+    for table in (known, met, distinct, cut):
+        drop_table(table)
+    free_shuffles(spark)
+    return found
 
 
 def merged(parts: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -348,7 +373,7 @@ def without(raw: bytes, runs: list[tuple[int, int]]) -> bytes:
 
 def _joined(docs: DataFrame, id_col: str, text_col: str, **options) -> DataFrame:
     """Every row of ``docs`` as __row with its text and its repeated stretches (null: none)."""
-    found = materialise(spans(docs, id_col, text_col, **options), "spans")
+    found = spans(docs, id_col, text_col, **options)
     found = found.groupBy("id", "t").agg(F.collect_set(F.struct("a", "e")).alias("__spans"))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
     text = text_of(text_col)

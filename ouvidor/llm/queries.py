@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from ouvidor.llm import bpe, chat, classifier, packing, rules, simhash, sketch, suffix
+from ouvidor.llm import bpe, chat, classifier, counts, lm, packing, rules, simhash, sketch, suffix
 from ouvidor.llm.common import documents
 
 
@@ -24,6 +24,10 @@ def op4_chat(spark, sf_dir):
     return chat.preference_pairs(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
+def op5_counts(spark, sf_dir):
+    return counts.token_counts(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
 def op6_classifier(spark, sf_dir):
     return classifier.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -40,5 +44,9 @@ def op9_sketch(spark, sf_dir):
     return sketch.fingerprints(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_packing, op3_suffix, op4_chat, op6_classifier, op7_simhash, op8_rules, op9_sketch)}
+def op10_lm(spark, sf_dir):
+    return lm.score(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_packing, op3_suffix, op4_chat, op5_counts, op6_classifier, op7_simhash, op8_rules, op9_sketch, op10_lm)}
 ORACLES = {"op4_chat": chat.ORACLE}

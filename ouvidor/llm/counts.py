@@ -19,6 +19,7 @@ prefix before it, and no suffix longer than what still begins a token can be one
 
 from __future__ import annotations
 
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from ouvidor.llm.bpe import json_encoding, json_vocabulary
 from ouvidor.llm.common import strings, text_of
 
-LIMIT, BUFFER, CHUNK, MOST_STATES = 512, 1 << 20, 64, 260_000
+LIMIT, BUFFER, CHUNK, MOST_STATES, MOST_PAIRS = 512, 1 << 20, 64, 400_000, 300_000
 
 # symbols: letter, number, other, apostrophe that begins 's-like or 're-like, blank or other white space before a
 # character that is none (n) or before white space or the end (w), rest of a character, start of a text
@@ -137,58 +138,95 @@ def match_starts(symbol: np.ndarray) -> np.ndarray:
     return np.flatnonzero(_BEGINS.reshape(-1)[symbol.astype(np.uint16) * 8 + entry_states(symbol)])
 
 
+class Cells:
+    """Open-addressing table of transitions: state * 256 + byte -> next state * 256 + change of the count + 128."""
+
+    def __init__(self, slots: int = 1 << 16):
+        self.keys, self.values, self.used = np.full(slots, -1, dtype=np.int64), np.zeros(slots, dtype=np.int32), 0
+
+    def _slot(self, keys):
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) & (len(self.keys) - 1)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """Values; -1 where there is none."""
+        slot = self._slot(keys)
+        found = self.keys[slot]
+        out = np.where(found == keys, self.values[slot], -1)
+        todo = np.flatnonzero((found != keys) & (found >= 0))
+        while len(todo):
+            slot[todo] = (slot[todo] + 1) & (len(self.keys) - 1)
+            found = self.keys[slot[todo]]
+            hit = found == keys[todo]
+            out[todo[hit]] = self.values[slot[todo[hit]]]
+            todo = todo[~hit & (found >= 0)]
+        return out
+
+    def put(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Enter keys that are new and differ."""
+        self.used += len(keys)
+        if self.used * 5 > len(self.keys) * 2:
+            old = np.flatnonzero(self.keys >= 0)
+            keys, values = np.concatenate([self.keys[old], keys]), np.concatenate([self.values[old], values])
+            size = len(self.keys)
+            while self.used * 5 > size:
+                size *= 2
+            self.keys, self.values = np.full(size, -1, dtype=np.int64), np.zeros(size, dtype=np.int32)
+        slot = self._slot(keys)
+        while len(keys):
+            free = np.flatnonzero(self.keys[slot] < 0)
+            _, first = np.unique(slot[free], return_index=True)
+            won = free[first]
+            self.keys[slot[won]], self.values[slot[won]] = keys[won], values[won]
+            left = np.ones(len(keys), dtype=bool)
+            left[won] = False
+            keys, values, slot = keys[left], values[left], (slot[left] + 1) & (len(self.keys) - 1)
+
+
 class Merger:
-    """The transducer of the merges, compiled on demand. A cell holds next state * 256 + change of the count + 128; -1: not compiled."""
+    """The transducer of the merges, compiled on demand."""
 
     def __init__(self, path: str, pattern: str, most: int = MOST_STATES):
-        self.ids, _ = json_vocabulary(path)
+        self.ids, self.added = json_vocabulary(path)
         self.encoding = json_encoding(path, pattern)
         self.bytes_of = {i: t for t, i in self.ids.items()}
         self.begins = {t[:k] for t in self.ids for k in range(len(t) + 1)}
-        self.most = most
+        self.most, self.compiled = most, 0
         self.fits_cache: dict[int, bool] = {}
-        self.endings: dict[bytes, list[tuple[int, int]]] = {}
-        self.columns = np.full(256, -1, dtype=np.int64)
-        self.width = 0
-        self.compiled = 0
         self.reset()
 
     def reset(self) -> None:
-        self.states: list[tuple] = []
-        self.number: dict[tuple, int] = {}
-        self.table = np.full((1024, max(16, self.width)), -1, dtype=np.int32)
-        self.state((b"", (-1,), (0,)))
+        self.cells = Cells()
+        self.endings: dict[bytes, list[tuple[int, int]]] = {}
+        self.states: list[bytes] = []
+        self.number: dict[bytes, int] = {}
+        self.state(b"", [-1], [0])
 
-    def state(self, key: tuple) -> int:
+    def state(self, suffix: bytes, lasts, counts) -> int:
+        """Number of the state: suffix, and for its start and each of its bytes the last token there and the count relative to now."""
+        key = suffix + array("i", lasts).tobytes() + array("h", counts).tobytes()
         found = self.number.get(key)
         if found is None:
             found = self.number[key] = len(self.states)
             self.states.append(key)
-            if found >= len(self.table):
-                self.table = np.concatenate([self.table, np.full_like(self.table, -1)])
         return found
 
-    def column(self, byte: int) -> int:
-        if self.columns[byte] < 0:
-            self.columns[byte] = self.width
-            self.width += 1
-            if self.width > self.table.shape[1]:
-                self.table = np.concatenate([self.table, np.full((len(self.table), 16), -1, dtype=np.int32)], axis=1)
-        return int(self.columns[byte])
+    def unpack(self, state: int):
+        key = self.states[state]
+        n = (len(key) - 6) // 7
+        return key[:n], array("i", key[n : 5 * n + 4]), array("h", key[5 * n + 4 :])
 
     def fits(self, first: int, second: int) -> bool:
         key = first << 20 | second
         found = self.fits_cache.get(key)
         if found is None:
-            if len(self.fits_cache) > 300_000:
+            if len(self.fits_cache) >= MOST_PAIRS:
                 self.fits_cache.clear()
             found = self.encoding._encode_single_piece(self.bytes_of[first] + self.bytes_of[second]) == [first, second]
             self.fits_cache[key] = found
         return found
 
-    def compile(self, state: int, byte: int) -> None:
-        """Fill in one cell."""
-        suffix, lasts, counts = self.states[state]
+    def transition(self, state: int, byte: int) -> int:
+        suffix, lasts, counts = self.unpack(state)
         longer = suffix + bytes([byte])
         while longer not in self.begins:
             longer = longer[1:]
@@ -202,9 +240,9 @@ class Merger:
                 break
         change = counts[len(counts) - size] + 1
         keep = len(longer)
-        new = (longer, (*lasts[len(lasts) - keep :], token), tuple(c - change for c in counts[len(counts) - keep :]) + (0,))
-        self.table[state, self.column(byte)] = self.state(new) * 256 + change + 128
+        new = self.state(longer, [*lasts[len(lasts) - keep :], token], [*(c - change for c in counts[len(counts) - keep :]), 0])
         self.compiled += 1
+        return new * 256 + change + 128
 
     def counts(self, raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Token count of each match [begin, end) of ``raw``; all matches advance byte by byte together."""
@@ -212,21 +250,16 @@ class Merger:
         order = np.argsort(begin - end, kind="stable")  # the longest first
         sizes = (end - begin)[order]
         at, state, sums = begin[order], np.zeros(len(begin), dtype=np.int64), np.zeros(len(begin), dtype=np.int64)
-        live = np.searchsorted(-sizes, -np.arange(1, int(sizes[0]) + 1), side="right") if len(sizes) else []
-        for step, n in enumerate(np.asarray(live).tolist()):
-            byte = raw[at[:n] + step]
-            column = self.columns[byte]
-            if (column < 0).any():
-                for b in np.unique(byte[column < 0]).tolist():
-                    self.column(b)
-                column = self.columns[byte]
-            now = state[:n]
-            cell = self.table[now, column]
+        live = np.searchsorted(-sizes, -np.arange(1, int(sizes[0]) + 1), side="right").tolist() if len(sizes) else []
+        for step, n in enumerate(live):
+            keys = state[:n] << 8 | raw[at[:n] + step]
+            cell = self.cells.get(keys)
             missing = np.flatnonzero(cell < 0)
             if len(missing):
-                for key in np.unique(now[missing] << 8 | byte[missing]).tolist():
-                    self.compile(key >> 8, key & 255)
-                cell = self.table[now, column]
+                new, back = np.unique(keys[missing], return_inverse=True)
+                made = np.array([self.transition(k >> 8, k & 255) for k in new.tolist()], dtype=np.int32)
+                self.cells.put(new, made)
+                cell[missing] = made[back]
             state[:n] = cell >> 8
             sums[:n] += (cell & 255) - 128
         total[order] = sums
@@ -242,11 +275,10 @@ def merger(path: str, pattern: str) -> Merger:
 
 def count_texts(machine: Merger, texts: list[str]) -> np.ndarray:
     """Tokens of each whole text; strings of added tokens inside a text count as one token each."""
-    _, added = json_vocabulary_of(machine)
     parts, owner, extra = [], [], np.zeros(len(texts), dtype=np.int64)
     for i, text in enumerate(texts):
         pieces = [text]
-        for token in added:
+        for token in machine.added:
             if token in text:
                 pieces = [x for p in pieces for x in p.split(token)]
         extra[i] = len(pieces) - 1
@@ -273,10 +305,6 @@ def count_texts(machine: Merger, texts: list[str]) -> np.ndarray:
     return out
 
 
-def json_vocabulary_of(machine: Merger):
-    return machine.ids, machine.encoding._special_tokens
-
-
 def token_counts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT) -> DataFrame:
     """One row a document: doc_id, n_bytes, n_tokens, over_limit. Null and empty texts have no tokens; repeated rows repeat."""
 

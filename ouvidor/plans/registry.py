@@ -1,4 +1,4 @@
-"""Name -> query and name -> SQL of every operator; modules of ``operators`` add theirs here."""
+"""Name -> query and name -> SQL of every operator; the modules of ``operators`` and ``streaming`` enter theirs here."""
 
 from __future__ import annotations
 
@@ -6,5 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    """Register a query under ``name``, with the SQL that gives the same rows."""
+
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return add

@@ -16,8 +16,11 @@ ACCEPTED_TRACE = ["guardrail_entrada", "agente_triagem", "agente_risco", "agente
 
 
 def guarded(df: DataFrame) -> DataFrame:
-    """+ bloqueado, motivo_bloqueio; the regex runs once a row. A null text is a failure, not a block."""
-    matched = df.withColumn("m", tx.suspicious_match(c("texto")))
+    """+ bloqueado, motivo_bloqueio. A null text is a failure, not a block.
+
+    The match comes out of a generator: filters on it stay above, so the regex runs once a row.
+    """
+    matched = df.select("*", F.explode(F.array(tx.suspicious_match(c("texto")))).alias("m"))
     return matched.withColumns({"motivo_bloqueio": tx.block_reason(c("texto"), c("m")), "bloqueado": F.coalesce(c("m") != "", F.lit(False))}).drop("m")
 
 
@@ -139,4 +142,8 @@ def result(spark, sf_dir):
 
 @query("Q_trace", f"WITH {RESULT}, t AS (SELECT id, unnest(CASE n_logs WHEN 1 THEN {BLOCKED_TRACE[:1]} WHEN 2 THEN {BLOCKED_TRACE} ELSE {ACCEPTED_TRACE} END) AS agente FROM result) SELECT agente, count(*) AS n FROM t GROUP BY agente")
 def trace_counts(spark, sf_dir):
-    return results(spark, sf_dir).select(F.explode("logs.agente").alias("agente")).groupBy("agente").agg(F.count("*").alias("n"))
+    """How many rows each stage saw."""
+    names = lambda x: F.array(*map(F.lit, x))
+    rows = guarded(complaints(spark, sf_dir))
+    path = F.when(c("bloqueado"), names(BLOCKED_TRACE)).when(c("motivo_bloqueio").isNotNull(), names(BLOCKED_TRACE[:1])).otherwise(names(ACCEPTED_TRACE))
+    return rows.select(F.explode(path).alias("agente")).groupBy("agente").agg(F.count("*").alias("n"))

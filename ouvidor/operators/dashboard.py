@@ -70,7 +70,7 @@ _ALL = " UNION ALL ".join(f"SELECT '{p}' AS painel, {col} AS valor, row_idx FROM
 
 def all_panels(df):
     """All panels in one pass: each row gives its value of each panel, combined before the one shuffle."""
-    long = df.where("categoria is not null").select("row_idx", F.explode(F.array(*[F.struct(F.lit(p).alias("painel"), c(col).alias("valor")) for p, col in PANELS.items()])).alias("x"))
+    long = df.select("row_idx", F.explode(F.array(*[F.struct(F.lit(p).alias("painel"), c(col).alias("valor")) for p, col in PANELS.items()])).alias("x"))
     return long.select("row_idx", "x.*").where("valor is not null").groupBy("painel", "valor").agg(F.count("*").alias("qtd"), F.min("row_idx").alias("primeira"))
 
 

@@ -222,13 +222,13 @@ def token_percentiles(spark, sf_dir):
 
 
 @query("Q_progress_eta", f"""{LOG}, w AS (
-  SELECT line_no, execucao_id, count(*) OVER p AS feitas, count(*) OVER t AS total, avg(duracao_ms) OVER p AS media FROM exec_log
+  SELECT line_no, execucao_id, count(*) OVER p AS feitas, count(*) OVER t AS total, count(duracao_ms) OVER p AS n, coalesce(sum(CAST(round(duracao_ms * 100) AS BIGINT)) OVER p, 0) AS soma FROM exec_log
   WHERE {NOT_SUMMARY} WINDOW p AS (PARTITION BY execucao_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), t AS (PARTITION BY execucao_id))
-SELECT line_no, round(feitas * 100.0 / total, 6) AS pct, round(coalesce(media, 0) * (total - feitas), 4) AS eta_ms FROM w""")
+SELECT line_no, round(feitas * 100.0 / total, 6) AS pct, CAST(CASE WHEN n > 0 THEN soma * (total - feitas) // n ELSE 0 END AS BIGINT) AS eta_centesimos FROM w""")
 def progress_eta(spark, sf_dir):
-    """Progress in percent and the time to the end of the run at the mean so far, after every line."""
-    rows = exec_log(spark, sf_dir).where(NOT_SUMMARY)
+    """Progress in percent and the time to the end of the run (in hundredths of a ms) at the mean so far, after every line."""
+    rows = exec_log(spark, sf_dir).where(NOT_SUMMARY).withColumn("cents", F.round(c("duracao_ms") * 100).cast("long"))
     whole = Window.partitionBy("execucao_id")
     far = whole.orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    w = rows.select("line_no", F.count("*").over(far).alias("feitas"), F.count("*").over(whole).alias("total"), F.avg("duracao_ms").over(far).alias("media"))
-    return w.select("line_no", F.round(c("feitas") * 100.0 / c("total"), 6).alias("pct"), F.round(F.coalesce("media", F.lit(0.0)) * (c("total") - c("feitas")), 4).alias("eta_ms"))
+    w = rows.select("line_no", F.count("*").over(far).alias("feitas"), F.count("*").over(whole).alias("total"), F.count("cents").over(far).alias("n"), F.coalesce(F.sum("cents").over(far), F.lit(0)).alias("soma"))
+    return w.select("line_no", F.round(c("feitas") * 100.0 / c("total"), 6).alias("pct"), F.expr("case when n > 0 then soma * (total - feitas) div n else 0L end").alias("eta_centesimos"))

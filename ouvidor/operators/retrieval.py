@@ -26,8 +26,8 @@ def segments(pages: DataFrame) -> DataFrame:
     parts = F.filter(F.transform(F.split(normalise(F.coalesce("text", F.lit(""))), r"(?U)(?=(?:\d+\.)+\d*\s+)"), strip), lambda p: p != "")
     rows = pages.select("page", F.posexplode(parts).alias("seg", "text"))
     line = F.element_at(F.split("text", "  ", 2), 1)
-    numbered = F.regexp_extract(line, fixed.SECTION_NUMBERED, 1)
-    section = F.when(numbered != "", strip(numbered)).when(line.rlike(fixed.SECTION_TITLE), F.substring(line, 1, fixed.SECTION_CHARS)).otherwise(F.concat(F.lit("Página "), c("page").cast("string")))
+    numbered = F.regexp_extract(line, "(?uUd)" + fixed.SECTION_NUMBERED, 1)
+    section = F.when(numbered != "", strip(numbered)).when(line.rlike("(?uUd)" + fixed.SECTION_TITLE), F.substring(line, 1, fixed.SECTION_CHARS)).otherwise(F.concat(F.lit("Página "), c("page").cast("string")))
     return rows.withColumn("section", section)
 
 
@@ -45,16 +45,24 @@ def chunks(pages: DataFrame, size: int = fixed.CHUNK_CHARS, overlap: int = fixed
     return named.select(F.concat(F.lit(document + "-p"), pad(c("page")), F.lit("-c"), pad(c("part"))).alias("chunk_id"), F.lit(document).alias("document_id"), "page", "section", "text", "part")
 
 
-_SEGMENTS = f"""{POLICY_PAGES}, norm AS (SELECT page, trim(regexp_replace(text, '[ \\t]+', ' ', 'g')) AS t FROM policy_pages),
-marked AS (SELECT page, t, list_filter(string_split(regexp_replace(t, '((?:\\d+\\.)+\\d*\\s+)', chr(1) || '\\1', 'g'), chr(1)), x -> trim(x) <> '') AS parts FROM norm)"""
+_STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
+_NUMBERED_SQL = fixed.SECTION_NUMBERED.replace("(?=", "(?:")  # at the end of a pattern, taking in and looking ahead find the same
+_SEGMENTS = rf"""WITH {POLICY_PAGES}, norm AS (SELECT page, {_STRIP.format("regexp_replace(replace(text, chr(13), ''), '[ \t]+', ' ', 'g')")} AS t FROM policy_pages),
+parts AS (SELECT page, list_filter(list_transform(string_split(regexp_replace(t, '((?:\d+\.)+\d*\s+)', chr(1) || '\1', 'g'), chr(1)), lambda x: {_STRIP.format("x")}), lambda x: x <> '') AS p FROM norm),
+raw AS (SELECT page, CAST(unnest(range(0, len(p))) AS INTEGER) AS seg, unnest(p) AS text FROM parts),
+segs AS (SELECT page, seg, text, CASE WHEN regexp_extract(text, '{_NUMBERED_SQL}', 1) <> '' THEN {_STRIP.format(f"regexp_extract(text, '{_NUMBERED_SQL}', 1)")}
+  WHEN regexp_matches(text, '{fixed.SECTION_TITLE}') THEN substr(text, 1, {fixed.SECTION_CHARS}) ELSE 'Página ' || page END AS section FROM raw)"""
 
 
-@query("Q_segments")
+@query("Q_segments", f"{_SEGMENTS} SELECT page, seg, section, text FROM segs")
 def segment_rows(spark, sf_dir):
     return segments(policy_pages(spark, sf_dir)).select("page", "seg", "section", "text")
 
 
-@query("Q_chunks")
+@query("Q_chunks", rf"""{_SEGMENTS}, cut AS (
+  SELECT page, seg, i, section, {_STRIP.format("substr(text, CAST(i * 350 + 1 AS BIGINT), 400)")} AS text FROM (SELECT *, unnest(range(0, CAST(greatest(0, ceil((length(text) - 400) / 350.0)) AS BIGINT) + 1)) AS i FROM segs)),
+num AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY seg, i) - 1 AS part FROM cut WHERE text <> '')
+SELECT '{fixed.DOCUMENT_ID}-p' || CASE WHEN page < 10 THEN '0' ELSE '' END || page || '-c' || CASE WHEN part < 10 THEN '0' ELSE '' END || part AS chunk_id, page, section, text FROM num""")
 def chunk_rows(spark, sf_dir):
     return chunks(policy_pages(spark, sf_dir), 400, 50).select("chunk_id", "page", "section", "text")
 
@@ -101,7 +109,7 @@ def retrieve(queries: DataFrame, key: str, weights: DataFrame, terms_idf: DataFr
 
 
 _TFIDF = r"""w AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]{2,}') AS t FROM benchmark),
-tm AS (SELECT item_id, unnest(list_concat(t, CASE WHEN len(t) > 1 THEN list_transform(range(1, len(t)), i -> t[i] || ' ' || t[i + 1]) ELSE [] END)) AS term FROM w),
+tm AS (SELECT item_id, unnest(list_concat(t, CASE WHEN len(t) > 1 THEN list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]) ELSE [] END)) AS term FROM w),
 tf AS (SELECT item_id, term, count(*) AS tf FROM tm GROUP BY ALL),
 idf AS (SELECT term, count(*) AS df, ln((1.0 + (SELECT count(*) FROM benchmark)) / (1 + count(*))) + 1 AS idf FROM tf GROUP BY term),
 raw AS (SELECT item_id, term, (1 + ln(tf)) * idf AS w FROM tf JOIN idf USING (term)),
@@ -118,7 +126,7 @@ def tfidf_weights(spark, sf_dir):
 
 
 _TOPK = f"""{_TFIDF}, qw AS (SELECT conv_id * 1000 + turn AS q, regexp_extract_all(lower(coalesce(text, '')), '{TOKEN}') AS t FROM conversations WHERE role = 'user'),
-qt AS (SELECT q, unnest(list_concat(t, CASE WHEN len(t) > 1 THEN list_transform(range(1, len(t)), i -> t[i] || ' ' || t[i + 1]) ELSE [] END)) AS term FROM qw),
+qt AS (SELECT q, unnest(list_concat(t, CASE WHEN len(t) > 1 THEN list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]) ELSE [] END)) AS term FROM qw),
 qf AS (SELECT q, term, count(*) AS tf FROM qt GROUP BY ALL), qr AS (SELECT q, term, (1 + ln(tf)) * idf AS w FROM qf JOIN idf USING (term)),
 qn AS (SELECT q, term, w / sqrt(sum(w * w) OVER (PARTITION BY q)) AS w FROM qr),
 s AS (SELECT q, item_id, round(sum(qn.w * weights.w), 6) AS score FROM qn JOIN weights USING (term) GROUP BY q, item_id),

@@ -39,9 +39,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` itself where its files give every core a part; a single small file is dealt out first."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def complaints(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.col("doc_id")
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         d.alias("row_idx"),
         F.concat(F.lit("REC-2026-"), F.lpad(d.cast("string"), 12, "0")).alias("id"),
         pick(d, CHANNELS).alias("canal"),

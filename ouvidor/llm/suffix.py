@@ -330,7 +330,7 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     distinct = mixed.groupBy("h", "c").agg(F.sum("n").alias("n"), F.min(F.struct("id", "t", "a", "e")).alias("at"))
     distinct = materialise(distinct, "contexts")
     copied = mixed.join(distinct.where("n > 1").select("h", "c"), ["h", "c"], "left_semi").select("id", "t", "a", "e")
-    sizes = distinct.groupBy("h").agg(F.count("*").alias("contexts"), F.min("n").alias("fewest"))
+    sizes = materialise(distinct.groupBy("h").agg(F.count("*").alias("contexts"), F.min("n").alias("fewest")), "sizes")
     # where every context is repeated as a whole there is nothing left to find
     asked = distinct.join(sizes.where("fewest = 1"), "h").select("h", "contexts", "at.*")
     by_text = asked.groupBy("id", "t").agg(F.collect_list(F.struct("h", "contexts", "a", "e")).alias("wanted"))
@@ -346,7 +346,7 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     twice = many.groupBy("h", "w").agg(F.count("*").alias("n")).where("n > 1")
     counted = many.join(twice, ["h", "w"], "left_semi").select("id", "t", (F.col("a") + F.col("o")).alias("a"), (F.col("a") + F.col("o") + length).alias("e"))
     found = materialise(known.unionByName(alike).unionByName(copied).unionByName(sorted_out).unionByName(counted), "spans")
-    for table in (known, met, distinct, cut):
+    for table in (known, met, distinct, sizes, cut):
         drop_table(table)
     free_shuffles(spark)
     return found

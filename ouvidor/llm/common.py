@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ouvidor.sources.tables import spread
+
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 _made: dict[str, list[str]] = {}
 
@@ -73,7 +75,7 @@ def free_shuffles(spark: SparkSession) -> None:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def text_of(column: str) -> F.Column:

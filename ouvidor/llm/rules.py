@@ -100,7 +100,7 @@ def rule_votes() -> dict[str, Column]:
 
 
 def fit_votes(votes: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[float, np.ndarray]:
-    """EM for two classes with rules that are independent within a class.
+    """EM for two classes with rules that are independent within a class; whether a rule abstains says nothing of the class.
 
     ``votes``: pattern x rule of -1, 0, 1; ``counts``: documents of each pattern. Returns the log-odds of the
     prior and, by rule and vote (-1, 0, 1), the log-odds of good. One pseudo-document for each vote and class
@@ -117,13 +117,14 @@ def fit_votes(votes: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple
     for _ in range(rounds):
         g = float((good * counts).sum())
         prior = np.log((g + 1) / (total - g + 1))
-        for vote in (-1, 0, 1):
-            is_vote = votes == vote
-            p_good = ((good * counts) @ is_vote + 1) / (g + 3)
-            p_bad = (((1 - good) * counts) @ is_vote + 1) / (total - g + 3)
+        voted = votes != 0
+        n_good, n_bad = (good * counts) @ voted, ((1 - good) * counts) @ voted
+        for vote in (-1, 1):
+            p_good = ((good * counts) @ (votes == vote) + 1) / (n_good + 2)
+            p_bad = (((1 - good) * counts) @ (votes == vote) + 1) / (n_bad + 2)
             odds[:, vote + 1] = np.log(p_good / p_bad)
-        # a rule's word never turns against what it says, and abstaining says nothing
-        odds[:, 0], odds[:, 1], odds[:, 2] = np.minimum(odds[:, 0], 0), 0, np.maximum(odds[:, 2], 0)
+        # a rule's word never turns against what it says
+        odds[:, 0], odds[:, 2] = np.minimum(odds[:, 0], 0), np.maximum(odds[:, 2], 0)
         score = prior + np.take_along_axis(odds.T, votes + 1, axis=0).sum(axis=1)
         new = 1 / (1 + np.exp(-np.clip(score, -60, 60)))
         if np.abs(new - good).max() < 1e-9:

@@ -92,7 +92,8 @@ def rule_votes() -> dict[str, Column]:
         "capitals": _vote(some & (upper < 0.1), upper > 0.3),
         "repeats": _vote(some & (repeats < 0.1), repeats > 0.3),
         "variety": _vote(some & (distinct > 0.35), some & (c("n_words") >= 100) & (distinct < 0.12)),
-        "lines": _vote((c("n_lines") > 3) & (dups < 0.05), dups > 0.3),
+        # one repeated line, such as a head that is also the foot, says nothing
+        "lines": _vote((c("n_lines") > 3) & (dups < 0.05), (c("n_dup_lines") > 2) & (dups > 0.3)),
         "bangs": _vote(some & (bangs < 0.02), bangs > 0.1),
         "word length": _vote((length >= 3) & (length <= 9), some & ((length < 2) | (length > 14))),
         "letters": _vote(some & (c("n_letters") > 0.85 * c("word_chars")), some & (c("n_letters") < 0.7 * c("word_chars"))),

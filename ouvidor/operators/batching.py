@@ -119,3 +119,65 @@ def provider_bisect(spark, sf_dir):
     texts = complaints(spark, sf_dir).select("id", "texto")
     rows = pending_batches(spark, sf_dir).join(texts, "id").select("id", "texto", "lote")
     return apply_provider(rows, offline_provider).groupBy("ok", "erro").agg(F.count("*").alias("n"))
+
+
+def risk_answer(items: list[dict], answer: str, stop: str | None = None) -> dict:
+    """(level, reason) by id from a model's answer; levels are free text, as they come."""
+    if stop == "max_tokens":
+        raise ValueError("resposta truncada (max_tokens)")
+    found = {str(row["id"]): {"nivel": row["nivel"], "justificativa": row["justificativa"]} for row in json_part(answer)}
+    missing = sorted({i["id"] for i in items} - found.keys())
+    if missing:
+        raise ValueError(f"ids ausentes: {missing}")
+    return found
+
+
+USAGE = "inputTokens long, outputTokens long, totalTokens long, cacheReadInputTokens long, cacheWriteInputTokens long"
+
+
+def usage(envelope: F.Column) -> F.Column:
+    """The five token counters of an answer's envelope (JSON); missing ones are null."""
+    u = F.from_json(F.get_json_object(envelope, "$.usage"), USAGE)
+    names = ["tokens_entrada", "tokens_saida", "tokens_total", "tokens_cache_leitura", "tokens_cache_escrita"]
+    return F.struct(*[u[f.split()[0]].alias(n) for f, n in zip(USAGE.split(", "), names)])
+
+
+EMBED_CHARS = 8000
+
+
+def embed(rows: DataFrame, provider: Callable[[list[str]], list[list[float]]], text_col: str = "texto") -> DataFrame:
+    """+ embedding: vectors of the texts, of which a model sees the first EMBED_CHARS characters; null is ''."""
+    import pyarrow as pa
+
+    def run(texts):
+        return pa.array(provider([t.as_py() for t in texts]), type=pa.list_(pa.float32()))
+
+    run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+    return rows.withColumn("embedding", F.arrow_udf(run, returnType="array<float>")(F.substring(F.coalesce(F.col(text_col), F.lit("")), 1, EMBED_CHARS)))
+
+
+def run_batched(rows: DataFrame, triage: Provider, risk: Provider, size: int = 15) -> DataFrame:
+    """The batched run: complaints that pass the guardrail are classified in batches, those classified get a risk in batches
+    (else the heuristic one), and everything ends in the result record. A refused triage is a failure of its row."""
+    from pyspark.sql import types as T
+
+    from ouvidor.functions import text as tx
+    from ouvidor.operators.complaints import guarded, processed
+    from ouvidor.operators.joins import batches
+
+    kind = T.StructType([T.StructField(k, T.StringType()) for k in fixed.OFFLINE])
+    open_rows = guarded(rows).where("motivo_bloqueio is null").select("row_idx", "id", "texto")
+    answered = apply_provider(batches(open_rows, size), triage)
+    classified = answered.select("id", F.from_json("valor", kind).alias("classificacao"), F.col("erro").alias("erro_triagem"))
+    again = batches(open_rows.join(classified.where("erro_triagem is null").select("id"), "id"), size)
+    level = apply_provider(again, risk).where("ok").select("id", F.get_json_object("valor", "$.nivel").alias("n"), F.get_json_object("valor", "$.justificativa").alias("j"))
+    done = processed(rows.join(classified, "id", "left")).join(level, "id", "left")
+    failed = F.col("erro_triagem").isNotNull()
+    nivel = F.when(~failed, F.coalesce("n", "risco_nivel"))
+    return done.withColumns({
+        "motivo_bloqueio": F.when(failed, F.concat(F.lit(fixed.ERROR_PREFIX), "erro_triagem")).otherwise(F.col("motivo_bloqueio")),
+        "risco_justificativa": F.when(~failed, F.when(F.col("n").isNotNull(), tx.mask_output(F.col("j"))).otherwise(F.col("risco_justificativa"))),
+        "acao_recomendada": F.when(F.col("bloqueado"), fixed.BLOCK_ANSWER).otherwise(F.when(nivel.isNotNull(), tx.mask_output(tx.action(F.col("classificacao.urgencia"), nivel)))),
+        "classificacao": F.when(~failed, F.col("classificacao")),
+        "risco_nivel": nivel,
+    }).drop("n", "j", "erro_triagem")

@@ -45,3 +45,27 @@ def json_array(results: DataFrame) -> DataFrame:
 def append_log(lines: DataFrame, path: str, run: str) -> None:
     """Append node logs of a run; one folder a run, so that runs never touch each other's files."""
     lines.withColumn("execucao_id", F.lit(run)).write.mode("append").partitionBy("execucao_id").json(path)
+
+
+def run_id(prefix: str = "execucao") -> str:
+    """Name of a run: prefix and local time."""
+    from datetime import datetime
+
+    return f"{prefix}_{datetime.now():%Y%m%d-%H%M%S}"
+
+
+def pdf_pages(spark: SparkSession, path: str) -> DataFrame:
+    """(page, text) of every PDF at ``path``; needs pypdf on the executors, which is not part of this image."""
+
+    def run(frames):
+        from io import BytesIO
+
+        import pandas as pd
+        from pypdf import PdfReader
+
+        for pdf in frames:
+            for raw in pdf["content"]:
+                pages = PdfReader(BytesIO(raw)).pages
+                yield pd.DataFrame({"page": range(1, len(pages) + 1), "text": [p.extract_text() or "" for p in pages]})
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "page int, text string")

@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from ouvidor.llm import classifier, packing, rules, simhash, suffix
-from ouvidor.llm.common import materialise
+from ouvidor.llm.common import drop_table, materialise
 
 
 def classify(spark, docs, sf_dir):
@@ -29,8 +29,7 @@ def near_duplicates(spark, docs, sf_dir):
 
 
 def repeats(spark, docs, sf_dir):
-    """Bytes that operator 3 finds repeated leave the texts, but the first place of each passage stays;
-    n_chars follows."""
+    """Bytes that operator 3 finds repeated leave the texts, at every place; all documents stay, n_chars follows."""
     return suffix.cut(docs)
 
 
@@ -46,9 +45,12 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
+    """The stages one after the other, each written to the shared scratch folder and read again; its input's table goes then."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = materialise(docs, f"stage{i}")
+        if i:
+            drop_table(before)  # packing has read it too: it writes its pieces before it returns
     return docs

@@ -32,9 +32,10 @@ from pyspark.sql import functions as F
 from ouvidor.llm.common import drop_table, free_shuffles, materialise, shuffle_partitions, strings, text_of
 
 LENGTH, GRAM, HOT = 200, 48, 8000
-BUFFER, COMBINE = 1 << 20, 200_000
+BUFFER, COMBINE, SORTED = 1 << 20, 200_000, 1 << 19
 _BASE = 0x9E3779B97F4A7C15 | 1
 _U = np.uint64
+_LETTERS = np.random.default_rng(11).integers(1, 2**63, 256, dtype=np.int64).astype(np.uint64) * _U(2) + _U(1)
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -59,9 +60,8 @@ class Hasher:
             self._tables.clear()
             self._tables[room] = (_powers(_BASE, room), _powers(pow(_BASE, -1, 1 << 64), room))
         self.up, self.down = self._tables[room]
-        letters = np.random.default_rng(11).integers(1, 2**63, 256, dtype=np.int64).astype(np.uint64) * _U(2) + _U(1)
         self.sums = np.zeros(n, dtype=np.uint64)
-        np.cumsum(letters[codes] * self.up[: n - 1], out=self.sums[1:])
+        np.cumsum(_LETTERS[codes] * self.up[: n - 1], out=self.sums[1:])
 
     def of(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         return (self.sums[end] - self.sums[begin]) * self.down[begin]
@@ -169,22 +169,26 @@ class SuffixArray:
     def __init__(self, texts: list[bytes], least: int):
         sizes = np.array([len(t) for t in texts], dtype=np.int64)
         self.codes = np.frombuffer(b"".join(texts), dtype=np.uint8)
-        n = len(self.codes)
-        ends = np.repeat(np.cumsum(sizes), sizes)
-        self.rest = ends - np.arange(n)
-        self.text = np.repeat(np.arange(len(texts)), sizes)
-        begins = np.repeat(np.cumsum(sizes) - sizes, sizes)
-        self.offset = np.arange(n) - begins
-        self.left = np.where(self.offset > 0, np.concatenate([[0], self.codes[:-1]]).astype(np.int64)[:n], -1) if n else np.zeros(0, dtype=np.int64)
+        n = len(self.codes)  # far below 2**31; about 100 bytes of memory for each
+        places = np.arange(n, dtype=np.int32)
+        self.rest = np.repeat(np.cumsum(sizes).astype(np.int32), sizes) - places
+        self.text = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
+        self.offset = places - np.repeat((np.cumsum(sizes) - sizes).astype(np.int32), sizes)
+        self.left = np.full(n, -1, dtype=np.int16)
+        self.left[1:] = np.where(self.offset[1:] > 0, self.codes[:-1], -1)
         self.ranks: dict[int, np.ndarray] = {}
         key = np.zeros(n, dtype=np.int64)
         for j in range(4):
-            key = key * 257 + np.where(self.rest > j, np.roll(self.codes, -j).astype(np.int64) + 1, 0)
-        self.ranks[4] = np.unique(key, return_inverse=True)[1].astype(np.int64) + 1
+            key *= 257
+            key += np.where(self.rest > j, np.roll(self.codes, -j).astype(np.int16) + 1, 0)
+        self.ranks[4] = np.unique(key, return_inverse=True)[1].astype(np.int32) + 1
         for size in self.LEVELS[1:]:
             half = size // 2
-            r = self.ranks[half]
-            self.ranks[size] = np.unique(r * (n + 2) + self.rank_at(r, np.arange(n), half), return_inverse=True)[1].astype(np.int64) + 1
+            key[:] = self.ranks[half]
+            key *= n + 2
+            key += self.rank_at(self.ranks[half], places, half)
+            self.ranks[size] = np.unique(key, return_inverse=True)[1].astype(np.int32) + 1
+        del key
         top = self.ranks[self.LEVELS[-1]]
         at = np.flatnonzero(self.rest >= least)
         counts = np.bincount(top[at], minlength=n + 2) if least >= self.LEVELS[-1] else None
@@ -270,7 +274,7 @@ def _buckets(least: int):
         held, size = [], 0
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if size >= BUFFER and row[0] != held[-1][0]:  # buckets stay whole
+                if size >= SORTED and row[0] != held[-1][0]:  # buckets stay whole
                     yield flush(held)
                     held, size = [], 0
                 held.append(row)

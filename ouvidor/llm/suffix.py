@@ -175,7 +175,7 @@ class SuffixArray:
         self.text = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
         self.offset = places - np.repeat((np.cumsum(sizes) - sizes).astype(np.int32), sizes)
         self.left = np.full(n, -1, dtype=np.int16)
-        self.left[1:] = np.where(self.offset[1:] > 0, self.codes[:-1], -1)
+        self.left[1:] = np.where(self.offset[1:] > 0, self.codes[:-1].astype(np.int16), -1)
         self.ranks: dict[int, np.ndarray] = {}
         key = np.zeros(n, dtype=np.int64)
         for j in range(4):

@@ -24,9 +24,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Regex
+from tokenizers.pre_tokenizers import Split
 
 from ouvidor.llm.bpe import json_encoding, json_vocabulary
 from ouvidor.llm.common import strings, text_of
@@ -65,13 +66,19 @@ _TO, _BEGINS = splitter()
 
 @lru_cache(maxsize=1)
 def classes() -> np.ndarray:
-    """Class of every code point: LET, NUM, OTH, SW for the blank, WW for other white space."""
+    """Class of every code point: LET, NUM, OTH, SW for the blank, WW for other white space.
+
+    The tokenizer library's own regex engine is asked, since engines differ in the Unicode version they know.
+    """
     text = "".join(map(chr, [*range(0xD800), *[0xFFFF] * 0x800, *range(0xE000, 0x110000)]))
     table = np.full(0x110000, OTH, dtype=np.uint8)
-    white = r"[\x09-\x0d\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
-    for pattern, value in ((r"\p{L}+", LET), (r"\p{N}+", NUM), (white, WW)):
-        for m in regex.finditer(pattern, text):
-            table[m.start() : m.end()] = value
+    for pattern, value in ((r"\p{L}+", LET), (r"\p{N}+", NUM), (r"\s+", WW)):
+        # what is left when the matches are taken out
+        rest = Split(Regex(pattern), "removed").pre_tokenize_str(text)
+        inside = np.ones(0x110000, dtype=bool)
+        for _, (a, e) in rest:
+            inside[a:e] = False
+        table[inside] = value
     table[0x20] = SW
     return table
 

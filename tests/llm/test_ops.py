@@ -253,6 +253,17 @@ def test_transducers():
     assert counts.entry_states(symbol).tolist() == states
 
 
+def test_counts_know_the_library_s_characters():
+    """Letters of new Unicode versions, which another regex engine may class in another way."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(JSON)
+    some = [*range(0xA0, 0x2100), *range(0xA700, 0xAC00), *range(0x10900, 0x11400, 3), *range(0x18C00, 0x19000, 3), *range(0x1E000, 0x1F000, 5)]
+    texts = [f"{chr(c)}'s {chr(c)}1" for c in some]
+    want = [len(e.ids) for e in t.encode_batch(texts, add_special_tokens=False)]
+    assert counts.count_texts(counts.merger(JSON, P.PATTERN), texts).tolist() == want
+
+
 # 6
 def test_classifier(spark, awkward):
     df, rows = awkward

@@ -5,7 +5,8 @@ neighbouring blocks, so that chunks overlap by half and cover every byte. The ma
 goes through one linear layer to a probability. Everything is learned: embedding, filters and output layer.
 
 The network is fitted on the driver from at most ``TRAIN_ROWS`` labelled documents, those with the smallest
-hashes of their ids; it is a few kilobytes. Scoring is one pass over whole texts without a shuffle.
+hashes of their ids, of which those of more than ``TRAIN_TEXT_BYTES`` are left out, so that the sample's bytes are
+bounded too; the network is a few kilobytes. Scoring is one pass over whole texts without a shuffle.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from ouvidor.llm.common import strings, text_of
 
 TRAIN_ROWS, EPOCHS, THRESHOLD = 2400, 14, 0.3
+TRAIN_TEXT_BYTES = 1 << 17
 DIM, WIDTH, STRIDE, FILTERS, BLOCK = 4, 8, 2, 24, 128
 SPOTS = BLOCK // STRIDE  # filter positions in a block
 PAD = 256
@@ -188,9 +190,10 @@ def held_out(id_col: str) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.lit(5)) == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = TRAIN_ROWS) -> Net:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = TRAIN_ROWS, text_bytes: int = TRAIN_TEXT_BYTES) -> Net:
     """Fit on the ``rows`` labelled documents outside the held-out fold whose ids have the smallest hashes.
 
+    Of these, texts of more than ``text_bytes`` aren't learned from; they are scored whole like any other.
     Null labels are left out; of several labels of one id the smallest counts; of several texts of one id
     all are used, as long as the bound of rows holds.
     """
@@ -198,6 +201,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = known.groupBy(F.col(id_col).alias("id")).agg(F.min(F.col(label_col).cast("int")).alias("y"))
     some = known.orderBy(F.xxhash64("id"), "id").limit(rows)  # bounded, so it can be broadcast
     texts = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).join(F.broadcast(some), "id")
+    texts = texts.where(F.octet_length("text") <= text_bytes)
     found = texts.orderBy(F.xxhash64("id"), "id", "text").limit(rows).collect()
     return fit([r["text"].encode("utf-8") for r in found], np.array([r["y"] for r in found], dtype=np.float32))
 

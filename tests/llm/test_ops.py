@@ -297,6 +297,15 @@ def test_classifier_covers_whole_texts():
     np.testing.assert_allclose(classifier._long(net, long), classifier._tops(net, [long]), rtol=1e-4, atol=1e-5)
 
 
+def test_classifier_leaves_huge_texts_out_of_the_fit(spark):
+    rows = [(i, ("good words here " if i % 2 else "#$% bad!! ") * 20) for i in range(40)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(41)], "doc_id long, quality int")
+    plain = spark.createDataFrame(rows, "doc_id long, text string")
+    with_huge = spark.createDataFrame([*rows, (40, "z" * (classifier.TRAIN_TEXT_BYTES + 1))], "doc_id long, text string")
+    a, b = classifier.train(plain, labels), classifier.train(with_huge, labels)
+    assert all((a.p[k] == b.p[k]).all() for k in a.p)
+
+
 def test_classifier_learns_held_out(spark):
     d = "/root/testdata/sf0.01"
     out = QUERIES["op6_classifier"](spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").where("held_out").collect()

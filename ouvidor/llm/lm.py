@@ -4,19 +4,22 @@ The filter holds n-grams with their counts on a logarithmic scale: an n-gram of
 numbers 1 to q; a reader probes 1, 2, ... until a probe fails. Levels are one-sided: never too low, too high
 with the small chance of a false positive.
 
-The model: words (ASCII lower case) and one end of text.
-
-* p1(w): the share of the word's count for words of the vocabulary, the most frequent words, at most ``VOCAB`` of them.
-  Any other word has the probability of an unknown one (what training has outside the vocabulary, and as much for
-  unseen words as words were seen once) times the mean of an even share among words so unknown and the probability of
-  its spelling by byte trigrams, which are learned from words outside the vocabulary or seen once.
-* p(w | v) = L * p2(w | v) + (1 - L) * p1(w), where p2 counts pairs of the ``CLASSES`` most frequent words, all others
-  being one class, within which p1 decides.
-
-All counts in the model come from the filter but for a few totals. Its content is bounded whatever the corpus: VOCAB
-words, (CLASSES + 1)**2 pairs, 2**24 + 2**16 spellings; its size is at most ``MOST_BYTES``. So it is broadcast, as are the
-exact counts of the vocabulary. Exact counts of all other words (for the base score) are met in a join: only
-tokens outside the vocabulary are shuffled. Corpus counts cover all training texts.
+The model: words (ASCII lower case) and one end of text. Every word and every pair of neighbouring words of the training
+texts is in the filter.
+
+* p1(w): the share of the word's count. A word that training has not seen has the mass of the words seen once times the mean
+  of an even share among words so unknown and the probability of its spelling by byte trigrams, learned from the words seen once.
+* p(w | v) = L * p2(w | v) + (1 - L) * p1(w), where p2 is the least count of the pair's level, less a discount, over
+  the greatest of the level of v, so that the p2 of one v never sum to more than 1 but for false positives. The discount is
+  Ney's estimate from the corpus, n1 / (n1 + 2 n2) of n1 pairs seen once and n2 seen twice.
+
+The filter grows with the corpus and is built in tasks, a piece for each hash range of about ``PIECE`` entries. Pieces of words and
+spellings are broadcast, several to a broadcast of at most ``MOST_BYTES``; where there are several, a worker holds one at a time.
+Pieces of pairs stay on disk: the pairs of the texts are dealt by the same ranges to them, packed for each piece and batch, and the sums
+go back. Pairs of at least one in ``HOT`` tokens are broadcast as well (at most HOT of them), so that no piece is asked one pair by all.
+
+For the base score, exact counts of the ``VOCAB`` most frequent words are broadcast; those of all other words are met in a join. How
+many are broadcast has no effect on a score.
 """
 
 from __future__ import annotations
@@ -33,10 +36,11 @@ from pyspark.sql import functions as F
 
 from ouvidor.llm.common import free_shuffles, materialise, strings, text_of
 
-VOCAB, CLASSES, LAMBDA = 300_000, 1000, 0.3
+VOCAB, LAMBDA = 300_000, 0.3
+PIECE, LEAST_BITS, HOT = 1 << 20, 5, 100_000
 GROWTH, HASHES, BITS_EACH, MOST_BYTES = 1.5, 4, 12, 1 << 26
 END = b""  # no word is empty
-FLUSH_WORDS, BATCH_WORDS = 400_000, 300_000
+FLUSH_WORDS, BATCH_WORDS, BATCH_TEXTS, FLUSH_KEYS = 400_000, 300_000, 60_000, 3_000_000
 _U = np.uint64
 
 
@@ -59,11 +63,23 @@ class LogBloom:
         counts = np.asarray(counts, dtype=np.float64)
         return np.where(counts > 0, 1 + np.floor(np.log(np.maximum(counts, 1)) / np.log(GROWTH) + 1e-9), 0).astype(np.int64)
 
+    @staticmethod
+    def ends(levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The smallest and largest count of a level; 0 for level 0."""
+        low, high = np.ceil(GROWTH ** (levels - 1.0) - 1e-9), np.ceil(GROWTH ** (levels * 1.0) - 1e-9) - 1
+        return np.where(levels > 0, low, 0.0), np.where(levels > 0, np.maximum(high, low), 0.0)
+
     @staticmethod
     def value(levels: np.ndarray) -> np.ndarray:
         """The geometric mean of a level's smallest and largest count; 0 for level 0."""
-        low, high = np.ceil(GROWTH ** (levels - 1.0) - 1e-9), np.ceil(GROWTH ** (levels * 1.0) - 1e-9) - 1
-        return np.where(levels > 0, np.sqrt(low * np.maximum(high, low)), 0.0)
+        low, high = LogBloom.ends(levels)
+        return np.sqrt(low * high)
+
+    @classmethod
+    def of(cls, bits: bytes) -> LogBloom:
+        bloom = cls.__new__(cls)
+        bloom.bits = np.frombuffer(bits, dtype=np.uint8)
+        return bloom
 
     def _places(self, keys: np.ndarray, level: int):
         h = mix(keys.astype(np.uint64) + _U(level * 0x9E3779B97F4A7C15 & (2**64 - 1)))
@@ -79,6 +95,9 @@ class LogBloom:
 
     def get(self, keys: np.ndarray) -> np.ndarray:
         """Estimated counts."""
+        return self.value(self.levels(keys))
+
+    def levels(self, keys: np.ndarray) -> np.ndarray:
         levels, live, level = np.zeros(len(keys), dtype=np.int64), np.arange(len(keys)), 1
         while len(live):
             held = np.ones(len(live), dtype=bool)
@@ -87,20 +106,48 @@ class LogBloom:
             live = live[held]
             levels[live] = level
             level += 1
-        return self.value(levels)
+        return levels
 
 
 def word_keys(words: list[bytes]) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(w, 1) for w in words], dtype=np.uint64)
 
 
-PAIR, TRIGRAM, BIGRAM = 1 << 40, 2 << 40, 3 << 40  # kinds of n-gram keys, beside those of words
+TRIGRAM, BIGRAM = 2 << 40, 3 << 40  # kinds of n-gram keys, beside those of words
 
 
 def ngram_keys(keys: np.ndarray) -> np.ndarray:
     return mix(keys.astype(np.uint64) * _U(2) + _U(1))
 
 
+def pair_keys(first: np.ndarray, second: np.ndarray, bits: int) -> np.ndarray:
+    """A piece of ``bits`` bits and 40 bits within it (about one in a million keys of a piece meets another); the rest is 0."""
+    rest = _U(24 - bits)
+    return mix(mix(first) * _U(3) + second) >> rest << rest
+
+
+def shorten(keys: np.ndarray, bits: int) -> bytes:
+    """The 40 bits of each pair's key within its piece."""
+    return (keys << _U(bits) >> _U(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def lengthen(short: bytes, piece: int, bits: int) -> np.ndarray:
+    wide = np.zeros((len(short) // 5, 8), dtype=np.uint8)
+    wide[:, :5] = np.frombuffer(short, dtype=np.uint8).reshape(-1, 5)
+    return wide.view("<u8").ravel() << _U(24 - bits) | _U(piece << 64 - bits)
+
+
+def piece_bits(entries: int) -> int:
+    """Leading bits of a key that name its piece."""
+    return max(LEAST_BITS, int(np.ceil(np.log2(max(1, entries) / PIECE))))
+
+
+def runs(keys: np.ndarray, bits: int):
+    """(piece, from, to) over sorted keys."""
+    pieces, first = np.unique(keys >> _U(64 - bits), return_index=True)
+    return zip(pieces.tolist(), first.tolist(), [*first[1:].tolist(), len(keys)])
+
+
 def tokens(text: str) -> list[bytes]:
     words = text.encode("utf-8").lower().split()  # bytes: A-Z only, ASCII white space only
     words.append(END)
@@ -117,53 +164,91 @@ def spellings(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return TRIGRAM | two << 8 | line[at], BIGRAM | two, owner
 
 
+class Pieces:
+    """The filter of words and spellings: broadcasts of consecutive pieces; with several, one at a time is in memory."""
+
+    def __init__(self, chunks: list, bits: int):
+        self.chunks, self.bits = chunks, bits  # (first piece, one beyond the last, broadcast of {piece: bits})
+
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        keys = keys.astype(np.uint64)
+        order = np.argsort(keys, kind="stable")
+        found, inside = np.zeros(len(keys), dtype=np.int64), list(runs(keys[order], self.bits)) if len(keys) else []
+        for low, high, shared in self.chunks:
+            mine = [r for r in inside if low <= r[0] < high]
+            held = shared.value if mine else {}
+            for piece, at, to in mine:
+                if piece in held:
+                    found[order[at:to]] = LogBloom.of(held[piece]).levels(keys[order[at:to]])
+            if len(self.chunks) > 1:
+                shared.__dict__.pop("_value", None)
+        return found
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        return LogBloom.value(self.levels(keys))
+
+
 class Model:
-    """What the workers get: vocabulary with exact counts, filter, totals."""
+    """What the workers get: frequent words with exact counts, filter of words and spellings, frequent pairs, totals.
+
+    ``mass`` is the sum of the filter's counts over all words; where it is None, ``words`` are all words.
+    """
 
-    def __init__(self, words, counts, bloom, totals, n, v, once):
-        self.words, self.counts, self.bloom, self.totals, self.n, self.v, self.once = words, counts, bloom, totals, n, v, once
+    def __init__(self, words, counts, bloom, hot, n, v, once, mass=None, bits=LEAST_BITS, discount=0.0):
+        self.words, self.counts, self.bloom, self.hot, self.n, self.v, self.once, self.mass, self.bits, self.discount = words, counts, bloom, hot, n, v, once, mass, bits, discount
         self.index = None
 
     def ready(self) -> Model:
         if self.index is not None:
             return self
         self.index = {w: i for i, w in enumerate(self.words)}
-        self.classes = min(CLASSES, len(self.words))
         self.base_of = np.log10((self.counts + 0.5) / (self.n + 0.5 * (self.v + 1)))
-        share = self.bloom.get(word_keys(self.words)) if self.words else np.zeros(0)
-        known = float(self.counts.sum())
-        self.unknown = (self.n - known + self.once + 0.5) / (self.n + self.once + 1)
-        self.even = 1 / (self.v - len(self.words) + self.once + 1)
-        self.rare = int((self.counts > 1).sum())  # numbers from here on are of words seen once
-        self.p1 = (1 - self.unknown) * share / max(share.sum(), 1.0)
-        self.other = max(1 - float(self.p1[: self.classes].sum()), 1e-12)
-        width = self.classes + 1
-        self.pairs = np.full(width * width, np.nan)
-        self.end = self.index.get(END, -1)
+        self.keys = word_keys(self.words)
+        self.end_key = word_keys([END])
+        self.unknown = (self.once + 0.5) / (self.n + self.once + 1)
+        self.even = 1 / (self.once + 1)
+        if self.bloom is not None:
+            self.levels = self.bloom.levels(self.keys)
+            self.end_level = self.bloom.levels(self.end_key)
+            mass = LogBloom.value(self.levels).sum() if self.mass is None else self.mass
+            self.p1_of = p1_of_levels(self.unknown, mass)
+            self.p1 = self.p1_of[self.levels]
         return self
 
-    def p2(self, key: np.ndarray) -> np.ndarray:
-        """Share of each pair among those of its first class; asked of the filter once in a worker's life."""
-        new = np.unique(key[np.isnan(self.pairs[key])])
-        if len(new):
-            found = self.bloom.get(ngram_keys(PAIR | new))
-            self.pairs[new] = np.minimum(found / np.maximum(self.totals[new // (self.classes + 1)], 1), 1.0)
-        return self.pairs[key]
+    def look_up(self, words: list[bytes]):
+        """(ids of the words held here or -1, keys of all, distinct words not held, which of these each of the others is)"""
+        get = self.index.get
+        ids = np.array([get(w, -1) for w in words], dtype=np.int64)
+        outside = np.flatnonzero(ids < 0)
+        place: dict[bytes, int] = {}
+        back = np.array([place.setdefault(words[i], len(place)) for i in outside.tolist()], dtype=np.int64)
+        keys = np.zeros(len(ids), dtype=np.uint64)
+        keys[ids >= 0] = self.keys[ids[ids >= 0]]
+        names = list(place)
+        keys[outside] = word_keys(names)[back]
+        return ids, keys, names, back
 
     def spelled(self, words: list[bytes]) -> np.ndarray:
         """log10 probability of each word's bytes."""
         three, two, owner = spellings(words)
         names, back = np.unique(three, return_inverse=True)
         contexts, back2 = np.unique(two, return_inverse=True)
-        c3, c2 = self.bloom.get(ngram_keys(names))[back], self.bloom.get(ngram_keys(contexts))[back2]
+        found = self.bloom.get(ngram_keys(np.concatenate([names, contexts])))
+        c3, c2 = found[: len(names)][back], found[len(names) :][back2]
         return np.bincount(owner, weights=np.log10(np.minimum((c3 + 0.1) / (c2 + 25.6), 1.0)), minlength=len(words))
 
 
-def class_pairs(ids: np.ndarray, classes: int, end: int) -> np.ndarray:
-    """Keys first class * width + second over a stream of texts that each end with the end's id."""
-    c = np.where((ids >= 0) & (ids < classes), ids, classes)
-    first = np.concatenate([[end if 0 <= end < classes else classes], c[:-1]])
-    return first * (classes + 1) + c
+def p1_of_levels(unknown: float, mass: float) -> np.ndarray:
+    return (1 - unknown) * LogBloom.value(np.arange(256)) / max(mass, 1.0)
+
+
+def blend(p2: np.ndarray, p1: np.ndarray) -> np.ndarray:
+    return np.log10(np.maximum(LAMBDA * p2 + (1 - LAMBDA) * p1, 1e-300))
+
+
+def p2_of(pair: np.ndarray, first: np.ndarray, discount: float) -> np.ndarray:
+    """From the levels of the pair and of its first word."""
+    return np.minimum(np.maximum(LogBloom.ends(pair)[0] - discount, 0) / np.maximum(LogBloom.ends(first)[1], 1), 1.0)
 
 
 _models: dict[int, Model] = {}
@@ -195,6 +280,17 @@ def in_fold(id_col: str, fold: int = 1) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.lit(5)) == fold
 
 
+def write(df: DataFrame, name: str) -> DataFrame:
+    """materialise(), with Spark asked to delete the shuffle files of the write after it."""
+    conf, spark = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", df.sparkSession
+    before = spark.conf.get(conf, None)
+    spark.conf.set(conf, "true")
+    try:
+        return materialise(df, name)
+    finally:
+        spark.conf.unset(conf) if before is None else spark.conf.set(conf, before)
+
+
 def count_words(train: DataFrame) -> DataFrame:
     """(word, c) over all texts of column text; combined in a task for every FLUSH_WORDS distinct words."""
 
@@ -233,30 +329,33 @@ def vocabulary(words: DataFrame, most: int = VOCAB) -> tuple[list[bytes], np.nda
     return table["word"].tolist(), table["c"].to_numpy(dtype=np.float64)
 
 
-def count_ngrams(train: DataFrame, shared: Shared) -> DataFrame:
-    """(key, n): pairs of classes over all tokens, byte trigrams and bigrams of all tokens that are outside the vocabulary or seen once."""
+def summed(parts) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted distinct keys, sums) of parts (keys, counts)."""
+    keys, n = np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts])
+    keys, back = np.unique(keys, return_inverse=True)
+    return keys, np.bincount(back, weights=n, minlength=len(keys)).astype(np.int64)
+
+
+_PACKED = "piece int, keys binary, n binary"
+
+
+def packed(keys: np.ndarray, n: np.ndarray, bits: int) -> pa.RecordBatch:
+    """One row for each piece of sorted keys."""
+    rows = [(p, keys[a:b].tobytes(), n[a:b].astype(np.int64).tobytes()) for p, a, b in runs(keys, bits)]
+    kinds = (pa.int32(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], type=k) for i, k in enumerate(kinds)], names=["piece", "keys", "n"])
+
+
+def count_pairs(train: DataFrame, shared: Shared) -> DataFrame:
+    """Counts of all pairs of neighbouring words, the end of the text before being the first's neighbour; packed by piece."""
 
     def run(batches):
         m = _model(shared)
-        width = m.classes + 1
-        pairs = np.zeros(width * width, dtype=np.int64)
-        spelled: list = []
-
-        def summed(parts):
-            keys, n = np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts])
-            keys, back = np.unique(keys, return_inverse=True)
-            return keys, np.bincount(back, weights=n, minlength=len(keys)).astype(np.int64)
+        held: list = []
 
         def take(words):
-            get = m.index.get
-            ids = np.array([get(w, -1) for w in words], dtype=np.int64)
-            pairs[:] += np.bincount(class_pairs(ids, m.classes, m.end), minlength=width * width)
-            unknown = [words[i] for i in np.flatnonzero((ids < 0) | (ids >= m.rare))]
-            if unknown:
-                three, two, _ = spellings(unknown)
-                spelled.append(np.unique(np.concatenate([three, two]), return_counts=True))
-                if sum(len(k) for k, _ in spelled) > 2_000_000:
-                    spelled[:] = [summed(spelled)]
+            _, keys, _, _ = m.look_up(words)
+            held.append(np.unique(pair_keys(np.concatenate([m.end_key, keys[:-1]]), keys, m.bits), return_counts=True))
 
         words: list[bytes] = []
         for batch in batches:
@@ -265,36 +364,90 @@ def count_ngrams(train: DataFrame, shared: Shared) -> DataFrame:
                 if len(words) >= BATCH_WORDS:
                     take(words)
                     words = []
+                    if sum(len(k) for k, _ in held) > FLUSH_KEYS:
+                        yield packed(*summed(held), m.bits)
+                        held.clear()
         if words:
             take(words)
-        found = np.flatnonzero(pairs)
-        parts = [(PAIR | found, pairs[found]), *([summed(spelled)] if spelled else [])]
-        for keys, n in parts:
-            for at in range(0, len(keys), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + 100_000], type=pa.int64()), pa.array(n[at : at + 100_000], type=pa.int64())], names=["key", "n"])
+        if held:
+            yield packed(*summed(held), m.bits)
+
+    return train.mapInArrow(run, _PACKED)
+
+
+def count_names(words: DataFrame, bits: int) -> DataFrame:
+    """Counts of all words, and of the byte trigrams and bigrams of the words seen once; packed by piece."""
+
+    def run(batches):
+        held: list = []
+        for batch in batches:
+            names, n = batch.column(0).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False)
+            held.append((word_keys(names), n))
+            single = [w for w, c in zip(names, n.tolist()) if c == 1]
+            if single:
+                three, two, _ = spellings(single)
+                held.append(np.unique(ngram_keys(np.concatenate([three, two])), return_counts=True))
+            if sum(len(k) for k, _ in held) > FLUSH_KEYS:
+                yield packed(*summed(held), bits)
+                held.clear()
+        if held:
+            yield packed(*summed(held), bits)
+
+    return words.select("word", "c").mapInArrow(run, _PACKED)
+
 
-    return train.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+_PIECES = "piece int, bits binary, hot_keys binary, hot_n binary, n1 long, n2 long"
 
 
-def build(spark, words: list[bytes], counts: np.ndarray, ngrams: DataFrame, n: int, v: int, once: int) -> Model:
-    """Enter everything into the filter; ``ngrams`` has at most (CLASSES + 1)**2 + 2**24 + 2**16 rows."""
-    table = ngrams.toPandas()
-    keys, found = table["key"].to_numpy(dtype=np.int64), table["n"].to_numpy(dtype=np.float64)
-    items = LogBloom.level(counts).sum() + LogBloom.level(found).sum()
-    bloom = LogBloom(int(items))
-    if words:
-        bloom.add(word_keys(words), counts)
-    bloom.add(ngram_keys(keys), found)
-    width = min(CLASSES, len(words)) + 1
-    pair = keys[(keys >> 40) == 1] & (PAIR - 1)
-    totals = np.bincount(pair // width, weights=found[(keys >> 40) == 1], minlength=width) if len(pair) else np.zeros(width)
-    return Model(words, counts, bloom, totals, n, v, once)
+def build(counts: DataFrame, least: int) -> DataFrame:
+    """Packed counts -> the filter of each piece, and its keys of ``least`` occurrences or more with their exact counts, how many keys occur once and twice."""
 
+    def run(table: pa.Table) -> pa.Table:
+        keys, n = summed([(np.frombuffer(k, dtype=np.uint64), np.frombuffer(c, dtype=np.int64)) for k, c in zip(table["keys"].to_pylist(), table["n"].to_pylist())])
+        bloom = LogBloom(int(LogBloom.level(n).sum()), 1 << 40)
+        bloom.add(keys, n)
+        hot = n >= least
+        row = {"piece": pa.array([table["piece"][0].as_py()], type=pa.int32())}
+        row |= {k: pa.array([x.tobytes()], type=pa.binary()) for k, x in (("bits", bloom.bits), ("hot_keys", keys[hot]), ("hot_n", n[hot]))}
+        return pa.table(row | {k: pa.array([int((n == c).sum())], type=pa.int64()) for k, c in (("n1", 1), ("n2", 2))})
 
-_PLACED = "uid long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, unknown array<struct<word: binary, tf: long>>"
+    return counts.groupBy("piece").applyInArrow(run, _PIECES)
+
+
+def share_pieces(pieces: DataFrame, bits: int, most_bytes: int = MOST_BYTES) -> Pieces:
+    """Broadcast the pieces in turn, at most ``most_bytes`` at once (or one piece)."""
+    sizes = {r["piece"]: r["size"] for r in pieces.select("piece", F.octet_length("bits").alias("size")).collect()}
+    cuts, total = [0], 0
+    for piece in range(1 << bits):
+        size = sizes.get(piece, 0)
+        if total + size > most_bytes and total:
+            cuts.append(piece)
+            total = 0
+        total += size
+    chunks = []
+    for low, high in zip(cuts, [*cuts[1:], 1 << bits]):
+        held = {r["piece"]: bytes(r["bits"]) for r in pieces.where((F.col("piece") >= low) & (F.col("piece") < high)).select("piece", "bits").collect()}
+        chunks.append((low, high, pieces.sparkSession.sparkContext.broadcast(held)))
+    return Pieces(chunks, bits)
+
+
+_ASKED = "piece int, keys binary, at binary, first binary, second binary"
+_PLACED = "uid long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, unknown array<struct<word: binary, tf: long>>, " + _ASKED
+_SCHEMA = pa.schema([
+    ("uid", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()),
+    ("unknown", pa.list_(pa.struct([("word", pa.binary()), ("tf", pa.int64())]))), ("piece", pa.int32()), ("keys", pa.binary()), ("at", pa.binary()), ("first", pa.binary()), ("second", pa.binary()),
+])
+
+
+def _rows(columns: dict) -> pa.RecordBatch:
+    size = len(next(iter(columns.values())))
+    return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(size, f.type) for f in _SCHEMA], schema=_SCHEMA)
 
 
 def _score_rows(shared: Shared):
+    """A row for each text, its score without the pairs that the pieces are asked for; and rows of these, one for each batch (uid: that
+    of its first text) and piece: keys, numbers of the texts in the batch, levels of the pair's first and second word."""
+
     def run(batches):
         m = _model(shared)
         part, number = TaskContext.get().partitionId(), 0
@@ -304,56 +457,99 @@ def _score_rows(shared: Shared):
             nonlocal number
             words = [w for x in held for w in x[2]]
             ends = np.cumsum([len(x[2]) for x in held])
-            first = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-            get = m.index.get
-            ids = np.array([get(w, -1) for w in words], dtype=np.int64)
-            inside = ids >= 0
-            base, p1 = np.zeros(len(ids)), np.ones(len(ids))
-            base[inside], p1[inside] = m.base_of[ids[inside]], m.p1[ids[inside]]
-            outside = np.flatnonzero(~inside)
+            begin = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+            ids, keys, names, back = m.look_up(words)
+            inside, outside = ids >= 0, np.flatnonzero(ids < 0)
+            base, level = np.zeros(len(ids)), np.zeros(len(ids), dtype=np.int64)
+            base[inside], level[inside] = m.base_of[ids[inside]], m.levels[ids[inside]]
+            p1 = np.zeros(len(ids))
             if len(outside):
-                names = sorted({words[i] for i in outside.tolist()})
-                place = {w: i for i, w in enumerate(names)}
-                spelled = m.spelled(names)
-                share = 0.5 * m.even + 0.5 * 10.0 ** np.maximum(spelled, -280)
-                p1[outside] = m.unknown * share[[place[words[i]] for i in outside.tolist()]]
-            p2 = m.p2(class_pairs(ids, m.classes, m.end))
-            within = np.where((ids >= 0) & (ids < m.classes), p2, p2 * np.minimum(p1 / m.other, 1.0))
-            score = np.log10(np.maximum(LAMBDA * within + (1 - LAMBDA) * p1, 1e-300))
+                found = m.bloom.levels(word_keys(names))
+                level[outside] = found[back]
+                new, share = np.flatnonzero(found == 0), np.zeros(len(names))
+                if len(new):
+                    share[new] = 0.5 * m.even + 0.5 * 10.0 ** np.maximum(m.spelled([names[i] for i in new.tolist()]), -280)
+                p1[outside] = m.unknown * share[back]
+            p1 = np.where(level > 0, m.p1_of[level], p1)
+            before = np.concatenate([m.end_level, level[:-1]])
+            asked = (level > 0) & (before > 0)  # a word that training has not seen is in no pair
+            pair, p2 = pair_keys(np.concatenate([m.end_key, keys[:-1]]), keys, m.bits), np.zeros(len(ids))
+            hot_keys, hot_levels = m.hot
+            if len(hot_keys):
+                spot = np.minimum(np.searchsorted(hot_keys, pair), len(hot_keys) - 1)
+                hot = asked & (hot_keys[spot] == pair)
+                p2[hot] = p2_of(hot_levels[spot[hot]], before[hot], m.discount)
+                asked &= ~hot
+            score = np.where(asked, 0.0, blend(p2, p1))
             lists, offsets = [], [0]
-            tail = np.split(outside, np.searchsorted(outside, ends[:-1])) if len(held) else []
-            for spots in tail:
+            for spots in np.split(outside, np.searchsorted(outside, ends[:-1])):
                 lists += sorted(Counter(words[i] for i in spots.tolist()).items())
                 offsets.append(len(lists))
             items = pa.StructArray.from_arrays([pa.array([w for w, _ in lists], type=pa.binary()), pa.array([c for _, c in lists], type=pa.int64())], names=["word", "tf"])
-            sums = lambda x: np.add.reduceat(x, first)  # noqa: E731  every text has its end token
-            columns = [
-                pa.array([part << 36 | number + i for i in range(len(held))], type=pa.int64()),
-                pa.array([x[0] for x in held], type=pa.int64()),
-                pa.array([x[1] for x in held], type=pa.bool_()),
-                pa.array(ends - first, type=pa.int64()),
-                pa.array(sums(inside.astype(np.int64)), type=pa.int64()),
-                pa.array(sums(base)),
-                pa.array(sums(score)),
-                pa.ListArray.from_arrays(pa.array(offsets, type=pa.int32()), items),
-            ]
+            sums = lambda x: np.add.reduceat(x, begin)  # noqa: E731  every text has its end token
+            uid = part << 36 | number
+            yield _rows({
+                "uid": pa.array([uid + i for i in range(len(held))], type=pa.int64()),
+                "doc_id": pa.array([x[0] for x in held], type=pa.int64()),
+                "held_out": pa.array([x[1] for x in held], type=pa.bool_()),
+                "n_tokens": pa.array(ends - begin, type=pa.int64()),
+                "known": pa.array(sums(inside.astype(np.int64)), type=pa.int64()),
+                "base": pa.array(sums(base)),
+                "score": pa.array(sums(score)),
+                "unknown": pa.ListArray.from_arrays(pa.array(offsets, type=pa.int32()), items),
+            })
+            owner = np.repeat(np.arange(len(held), dtype=np.uint16), ends - begin)
             number += len(held)
-            return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _PLACED.split(", ")[:7]] + ["unknown"])
+            spots = np.flatnonzero(asked)
+            if not len(spots):
+                return
+            spots = spots[np.argsort(pair[spots] >> _U(64 - m.bits), kind="stable")]  # within a piece as in the texts
+            columns = (pair[spots], owner[spots], before[spots].astype(np.uint8), level[spots].astype(np.uint8))
+            parts = [(p, shorten(columns[0][a:b], m.bits), *(x[a:b].tobytes() for x in columns[1:])) for p, a, b in runs(columns[0], m.bits)]
+            asks = {name: pa.array([p[i] for p in parts], type=_SCHEMA.field(name).type) for i, name in enumerate(("piece", "keys", "at", "first", "second"))}
+            yield _rows({"uid": pa.array([uid] * len(parts), type=pa.int64())} | asks)
 
         size = 0
         for batch in batches:
             for doc, out, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strings(batch.column(2))):
                 held.append((doc, out, tokens(text)))
                 size += len(held[-1][2])
-                if size >= BATCH_WORDS:
-                    yield flush()
+                if size >= BATCH_WORDS or len(held) >= BATCH_TEXTS:
+                    yield from flush()
                     held, size = [], 0
         if held:
-            yield flush()
+            yield from flush()
 
     return run
 
 
+def _grouped(owner: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    names, back = np.unique(owner, return_inverse=True)
+    return names, np.bincount(back, weights=values, minlength=len(names))
+
+
+def ask(asked: DataFrame, pieces: DataFrame, bits: int, p1_of: np.ndarray, discount: float) -> DataFrame:
+    """(uid, more): what the pairs that were asked for add to each text's score."""
+    answer = pa.schema([("uid", pa.int64()), ("at", pa.binary()), ("more", pa.binary())])
+
+    def probe(asks: pa.Table, piece: pa.Table) -> pa.Table:
+        bloom, out = LogBloom.of(piece["bits"][0].as_py()) if len(piece) else LogBloom(0), []
+        for row in asks.to_pylist():
+            first, second = (np.frombuffer(row[k], dtype=np.uint8) for k in ("first", "second"))
+            levels = bloom.levels(lengthen(row["keys"], row["piece"], bits))
+            at, more = _grouped(np.frombuffer(row["at"], dtype=np.uint16), blend(p2_of(levels, first, discount), p1_of[second]))
+            out.append((row["uid"], at.tobytes(), more.astype(np.float32).tobytes()))
+        return pa.Table.from_arrays([pa.array([r[i] for r in out], type=f.type) for i, f in enumerate(answer)], schema=answer)
+
+    def gather(table: pa.Table) -> pa.Table:
+        at = np.concatenate([np.frombuffer(x, dtype=np.uint16) for x in table["at"].to_pylist()])
+        names, more = _grouped(at, np.concatenate([np.frombuffer(x, dtype=np.float32) for x in table["more"].to_pylist()]))
+        return pa.table({"uid": pa.array(table["uid"][0].as_py() + names.astype(np.int64)), "more": pa.array(more)})
+
+    answers = asked.groupBy("piece").cogroup(pieces.select("piece", "bits").groupBy("piece")).applyInArrow(probe, "uid long, at binary, more binary")
+    return answers.groupBy("uid").applyInArrow(gather, "uid long, more double")
+
+
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab: int = VOCAB) -> DataFrame:
     """One row a document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -363,23 +559,37 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), in_fold(id_col).alias("held_out"), text_of(text_col).alias("text"))
     train = texts.where(~F.col("held_out")).select("text")
-    words = materialise(count_words(train), "words")
-    n, v, once = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.count_if(F.col("c") == 1)).first()
+    words = write(count_words(train), "words")
+    found = words.groupBy("c").agg(F.count("*").alias("n")).toPandas()  # at most the square root of twice the tokens
+    count, many = found["c"].to_numpy(dtype=np.int64), found["n"].to_numpy(dtype=np.int64)
+    n, v, once = int((count * many).sum()), int(many.sum()), int(many[count == 1].sum())
+    mass = float((LogBloom.value(LogBloom.level(count)) * many).sum())
     names, counts = vocabulary(words, vocab)
-    width = min(CLASSES, len(names)) + 1
-    first = Shared(spark, Model(names, counts, LogBloom(0), np.zeros(width), n, v, once))
-    model = build(spark, names, counts, count_ngrams(train, first), n, v, once)
-    shared = Shared(spark, model)
+    bits, none = piece_bits(n), np.zeros(0, dtype=np.uint64)
+    first = Shared(spark, Model(names, counts, None, (none, none), n, v, once, mass, bits))
+    pairs = write(build(count_pairs(train, first), max(n // HOT, 8)), "pairs")
+    free_shuffles(spark)
+    keys, many = none, none
+    n1, n2 = pairs.agg(F.coalesce(F.sum("n1"), F.lit(0)), F.coalesce(F.sum("n2"), F.lit(0))).first()
+    discount = n1 / max(n1 + 2 * n2, 1)
+    for r in pairs.select("hot_keys", "hot_n").collect():
+        keys, many = np.concatenate([keys, np.frombuffer(r["hot_keys"], dtype=np.uint64)]), np.concatenate([many, np.frombuffer(r["hot_n"], dtype=np.int64).astype(np.uint64)])
+    order = np.argsort(keys)
+    spelled = write(build(count_names(words, piece_bits(v)), 1 << 62), "names")
+    bloom = share_pieces(spelled, piece_bits(v))
+    shared = Shared(spark, Model(names, counts, bloom, (keys[order], LogBloom.level(many[order])), n, v, once, mass, bits, discount))
     placed = materialise(texts.mapInArrow(_score_rows(shared), _PLACED), "placed")
     free_shuffles(spark)
+    more = ask(placed.where("piece is not null").select("uid", *[c.split()[0] for c in _ASKED.split(", ")]), pairs, bits, p1_of_levels((once + 0.5) / (n + once + 1), mass), discount)
+    placed = placed.where("piece is null").drop(*[c.split()[0] for c in _ASKED.split(", ")])
     tail = placed.select("uid", F.explode("unknown").alias("u")).select("uid", "u.word", "u.tf")
     count = F.coalesce(F.col("c"), F.lit(0))
     sums = tail.join(words, "word", "left").groupBy("uid").agg(
         F.sum(F.col("tf") * F.log10((count + 0.5) / F.lit(n + 0.5 * (v + 1)))).alias("more_base"), F.sum(F.when(count > 0, F.col("tf")).otherwise(0)).alias("more_known")
     )
-    out = placed.drop("unknown").join(sums, "uid", "left").select(
+    out = placed.drop("unknown").join(sums, "uid", "left").join(more, "uid", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(int(n)).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"), "score",
+        (F.col("base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"),
     )
     first.broadcast.unpersist()
     return out

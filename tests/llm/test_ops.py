@@ -500,3 +500,29 @@ def test_model_is_a_distribution():
     bloom.add(lm.word_keys(words_), n)
     m = lm.Model(words_, n, bloom, np.zeros(5), 16, 4, 1).ready()
     assert abs(m.p1.sum() + m.unknown - 1) < 1e-9
+
+
+def test_lm_enters_all_words_and_pairs(spark):
+    r = random.Random(3)
+    follows = [f"w{i}" for i in range(4000)]
+    r.shuffle(follows)
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5 != 1]
+    held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5 == 1][:2]
+    rows = [(i, " ".join(follows[at : at + 100])) for i in ids for at in [r.randrange(3900)]]
+    chosen = follows[1000:1200]
+    rows += [(held[0], " ".join(chosen)), (held[1], " ".join(r.sample(chosen, 200)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    all_, few = ({x["doc_id"]: x["score"] for x in lm.score(df, vocab=vocab).collect()} for vocab in (300_000, 40))
+    assert all(abs(all_[i] - few[i]) < 1e-3 for i in all_)  # what is broadcast has no effect
+    assert all_[held[0]] > all_[held[1]] + 150  # pairs of rare words are known
+
+
+def test_lm_filter_grows_and_is_read_in_parts(spark):
+    words_ = [f"{i}".encode() for i in range(20_000)]
+    df = spark.createDataFrame([(w, 1 + i % 3) for i, w in enumerate(words_)], "word binary, c long")
+    pieces = lm.build(lm.count_names(df, 5), 1 << 62).cache()
+    for most in (1 << 26, 5000):
+        bloom = lm.share_pieces(pieces, 5, most)
+        assert (len(bloom.chunks) > 1) == (most == 5000)
+        assert (bloom.levels(lm.word_keys(words_)) >= [1 + i % 3 for i in range(20_000)]).all()
+        assert (bloom.levels(lm.word_keys([b"x" + w for w in words_])) > 0).mean() < 0.02

@@ -3,6 +3,7 @@
 import math
 
 import duckdb
+import numpy as np
 import pytest
 
 from ouvidor.plans.all import ORACLES, QUERIES
@@ -45,3 +46,25 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_kmeans_runs_all_starts_to_rest(spark):
+    from pyspark.sql import functions as F
+
+    from ouvidor.operators import clustering
+
+    sf = "/root/testdata/sf0.01"
+    rows = clustering.vectors(spark, sf).orderBy(F.xxhash64("vec_id")).toPandas()
+    x, r = np.array(rows["embedding"].tolist(), dtype=float), np.random.default_rng(42)
+    want = {}
+    for k in range(2, 11):
+        for _ in range(10):
+            centres, old = clustering.starts(x, k, r), None
+            for _ in range(300):
+                to = ((x[:, None] - centres) ** 2).sum(axis=2).argmin(axis=1)
+                if old is not None and (to == old).all():
+                    break
+                centres, old = np.array([x[to == i].mean(axis=0) if (to == i).any() else centres[i] for i in range(k)]), to
+            want[k] = min(want.get(k, np.inf), ((x - centres[to]) ** 2).sum())
+    got = {row["k"]: row["inercia"] for row in QUERIES["Q_kmeans"](spark, sf).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] / want[k] - 1) < 1e-6 for k in want)

@@ -21,57 +21,61 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ouvidor.llm.common import shuffle_partitions, strings, text_of
-
-WORDS, KEEP_ONE_IN, WORD_CACHE = 5, 4, 500_000
-_TURN = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], dtype=np.uint64)
-
-
-class WordHashes(dict):
-    """Hash by word; forgets all words beyond WORD_CACHE of them."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= WORD_CACHE:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word, 9)
-        return value
-
-
-_hashes = WordHashes()
-
-
-def mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
-
-def shingle_hashes(text: str, k: int = WORDS) -> np.ndarray:
-    words = text.encode("utf-8").split()
-    if not words:
-        return np.zeros(0, dtype=np.uint64)
-    h = np.fromiter(map(_hashes.__getitem__, words), dtype=np.uint64, count=len(words))
-    k = min(k, len(words))
-    n = len(words) - k + 1
-    total = np.full(n, np.uint64(k))
-    for j in range(k):
-        total = mix(total + h[j : j + n] * _TURN[j])
-    return total
+from ouvidor.llm.words import batches as grouped
+from ouvidor.llm.words import hash_words, mix
+
+WORDS, KEEP_ONE_IN = 5, 4
+BATCH_BYTES, BATCH_TEXTS = 1 << 16, 1 << 12
+_OWNER = np.uint64(48)  # a kept hash has 48 bits; the number of its text in a batch stands above them
+_TURN = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
+
+
+def shingle_hashes(texts: list[bytes], k: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the text, hash) of every shingle of ``k`` words; a text of fewer words has one of all its words, an empty one none."""
+    h, first = hash_words(texts)
+    n = np.diff(first)
+    owners, hashes = [], []
+    for size in range(1, k + 1):
+        if size < k:
+            owner = np.flatnonzero(n == size)
+            at = first[owner]
+        else:
+            room = np.maximum(n - (k - 1), 0)
+            owner = np.repeat(np.arange(len(texts)), room)
+            at = np.arange(len(owner)) + np.repeat(first[:-1] - (np.cumsum(room) - room), room)
+        total = np.full(len(at), np.uint64(size))
+        for j in range(size):
+            total += h[at + j] * _TURN[j]
+        owners.append(owner)
+        hashes.append(mix(total))
+    return np.concatenate(owners), np.concatenate(hashes)
+
+
+def sketches(texts: list[bytes], one_in: int = KEEP_ONE_IN) -> np.ndarray:
+    """Sorted distinct hashes below the fraction 1 / one_in of all texts (65,535 at most), each under the number of its text."""
+    owner, h = shingle_hashes(texts)
+    kept = np.flatnonzero(h < np.uint64(2**64 // one_in))
+    marks = np.sort(h[kept] >> np.uint64(14) & np.uint64(2**48 - 1) | owner[kept].astype(np.uint64) << _OWNER)
+    return marks[np.concatenate([[True], marks[1:] != marks[:-1]])] if len(marks) else marks
 
 
 def sketch(text: str, one_in: int = KEEP_ONE_IN) -> np.ndarray:
     """Sorted distinct hashes (48 bits) below the fraction 1 / one_in."""
-    h = shingle_hashes(text)
-    return np.unique(h[h < np.uint64(2**64 // one_in)] >> np.uint64(14))
+    return sketches([text.encode("utf-8")], one_in)
 
 
 def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.union1d(a, b)
 
 
-def fingerprint(text: str, kept: np.ndarray) -> str:
+def fingerprint(raw: bytes, kept: np.ndarray) -> str:
     if not len(kept):
-        return "~" + xxhash.xxh64_hexdigest(text.encode("utf-8"), 9)
-    return base64.b64encode(kept.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()).decode("ascii")
+        return "~" + xxhash.xxh64_hexdigest(raw, 9)
+    return base64.b64encode(packed(kept)).decode("ascii")
+
+
+def packed(kept: np.ndarray) -> bytes:
+    return kept.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
 
 
 def read_fingerprint(value: str) -> np.ndarray:
@@ -98,24 +102,41 @@ def edited(text: str, other: str) -> str:
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-def _compare(rows):
-    """Rows (id, text) in order, each against the one after it; the last is only looked at."""
-    before = None
-    for doc, text in rows:
-        kept = sketch(text)
-        now = (doc, text, kept, fingerprint(text, kept))
-        if before is not None:
-            doc, text, kept, mark = before
-            changed = edited(text, now[1])
-            e = sketch(changed)
-            e_mark = fingerprint(changed, e)
-            yield doc, len(text), hashlib.sha256(changed.encode("utf-8")).hexdigest(), mark, e_mark, likeness(kept, e, mark == e_mark), likeness(kept, now[2], mark == now[3])
-        before = now
+def compare(rows: list[tuple[int, str]]) -> list[tuple]:
+    """Rows (id, text) in order, each against its edited text and the one after it; the last is only looked at."""
+    texts = [t for _, t in rows]
+    changed = [edited(t, u) for t, u in zip(texts, texts[1:])]
+    raws = [x.encode("utf-8") for pair in zip(texts, [*changed, ""]) for x in pair]  # text i is number 2i, its edited text 2i + 1
+    marks = sketches(raws)
+    owner = (marks >> _OWNER).astype(np.int64)
+    ends = np.searchsorted(owner, np.arange(len(raws) + 1))
+    sizes, line = np.diff(ends), packed(marks)
 
+    def shared(step: int) -> np.ndarray:
+        """How many hashes of each text are in the text ``step`` numbers on."""
+        wanted = marks + (np.uint64(step) << _OWNER)
+        at = np.minimum(np.searchsorted(marks, wanted), len(marks) - 1)
+        return np.bincount(owner[marks[at] == wanted], minlength=len(raws)) if len(marks) else np.zeros(len(raws))
 
-def _in_order(batches):
-    from itertools import islice
+    def mark(i: int) -> str:
+        return base64.b64encode(line[6 * ends[i] : 6 * ends[i + 1]]).decode("ascii") if sizes[i] else fingerprint(raws[i], marks[:0])
+
+    prints = [mark(i) for i in range(len(raws))]
+    near = {step: shared(step) for step in (1, 2)}
 
+    def like(i: int, step: int) -> float:
+        if prints[i] == prints[i + step]:
+            return 1.0
+        least = min(sizes[i], sizes[i + step])
+        return float(near[step][i] / least) if least else 0.0
+
+    return [
+        (doc, len(text), hashlib.sha256(raws[2 * i + 1]).hexdigest(), prints[2 * i], prints[2 * i + 1], like(2 * i, 1), like(2 * i, 2))
+        for i, (doc, text) in enumerate(rows[:-1])
+    ]
+
+
+def _in_order(batches):
     types = [pa.int64(), pa.int64(), *[pa.string()] * 3, *[pa.float64()] * 2]
     names = [c.split()[0] for c in SCHEMA.split(", ")]
 
@@ -126,9 +147,12 @@ def _in_order(batches):
                 if extra:  # the first row of the next bucket closes this one
                     return
 
-    out = _compare(rows())
-    while part := list(islice(out, 2000)):
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in part], type=t) for i, t in enumerate(types)], names=names)
+    before: list = []
+    for some in grouped(rows(), lambda row: BATCH_BYTES // BATCH_TEXTS + len(row[1]), BATCH_BYTES):
+        some = before + some
+        out, before = compare(some), some[-1:]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], type=t) for i, t in enumerate(types)], names=names)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

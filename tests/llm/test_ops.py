@@ -293,17 +293,50 @@ def test_classifier_covers_whole_texts():
         blocks = -(-size // 128)
         chunks = [act[64 * i : 64 * (i + 2)].mean(axis=0) for i in range(max(1, blocks - 1))]
         np.testing.assert_allclose(one[0], np.max(chunks, axis=0), rtol=1e-3, atol=1e-4)
-    long = bytes(np.random.default_rng(0).integers(32, 127, 3_000_000, dtype=np.uint8))
-    np.testing.assert_allclose(classifier._long(net, long), classifier._tops(net, [long]), rtol=1e-4, atol=1e-5)
-
-
-def test_classifier_leaves_huge_texts_out_of_the_fit(spark):
+        z = float(np.max(chunks, axis=0) @ net.p["out"] + net.p["bias"][0])
+        assert abs(classifier.scores(net, [raw])[0] - 1 / (1 + np.exp(-z))) < 1e-4
+        # the neighbours in a batch have no effect, whatever they are
+        for beside in (b"", b"x" * 1000, raw):
+            np.testing.assert_allclose(classifier._tops(net, [raw, beside])[0], one[0], rtol=1e-4, atol=1e-5)
+
+
+def test_classifier_gradients():
+    """Every gradient against the change of the loss."""
+    r = np.random.default_rng(3)
+    net = classifier.Net(2)
+    texts = [bytes(r.integers(97, 110, n, dtype=np.uint8)) for n in (3, 100, 128, 700)]
+    y = np.array([1, 0, 1, 0], dtype=np.float32)
+
+    def loss():
+        p = classifier.scores(net, texts)
+        return -np.mean(y * np.log(p) + (1 - y) * np.log(1 - p))
+
+    grads = classifier._gradients(net, texts, y)
+    for name in ("filter", "out", "shift", "bias"):
+        flat, step = net.p[name].reshape(-1), 1e-2
+        for at in r.choice(len(flat), min(6, len(flat)), replace=False):
+            kept = flat[at]
+            flat[at] = kept + step
+            up = loss()
+            flat[at] = kept - step
+            down = loss()
+            flat[at] = kept
+            assert abs((up - down) / (2 * step) - grads[name].reshape(-1)[at]) < 2e-2 * max(1, abs(grads[name]).max())
+
+
+def test_classifier_learns_from_long_texts_in_parts(spark):
+    room = classifier.PARTS * classifier.PART_CHARS
     rows = [(i, ("good words here " if i % 2 else "#$% bad!! ") * 20) for i in range(40)]
-    labels = spark.createDataFrame([(i, i % 2) for i in range(41)], "doc_id long, quality int")
-    plain = spark.createDataFrame(rows, "doc_id long, text string")
-    with_huge = spark.createDataFrame([*rows, (40, "z" * (classifier.TRAIN_TEXT_BYTES + 1))], "doc_id long, text string")
-    a, b = classifier.train(plain, labels), classifier.train(with_huge, labels)
-    assert all((a.p[k] == b.p[k]).all() for k in a.p)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(42)], "doc_id long, quality int")
+    long = "a" * room + "b" * room + "c" * room
+    df = spark.createDataFrame([*rows, (40, "z" * room), (41, long)], "doc_id long, text string")
+    parts = {r["doc_id"]: r["p"] for r in df.select("doc_id", classifier.parts_of(classifier.F.col("text")).alias("p")).collect()}
+    assert parts[0] == [rows[0][1]] and parts[40] == ["z" * room]
+    assert [len(p) for p in parts[41]] == [classifier.PART_CHARS] * classifier.PARTS and parts[41][0][0] == "a" and parts[41][-1][-1] == "c"
+    net = classifier.train(df, labels)
+    assert classifier.scores(net, [rows[1][1].encode()])[0] > 0.5 > classifier.scores(net, [rows[0][1].encode()])[0]
+    plain, twice = (classifier.train(spark.createDataFrame(x, "doc_id long, text string"), labels) for x in (rows, rows + rows))
+    assert all((plain.p[k] == twice.p[k]).all() for k in plain.p)
 
 
 def test_classifier_learns_held_out(spark):
@@ -443,13 +476,66 @@ def test_sketches(spark, awkward):
     assert sketch.fingerprints(one).first()["near_next"] == 1.0
 
 
+def brute_sketch(text):
+    """Kept hashes by the formulas of the docstrings, a word and a shingle at a time."""
+    full = 2**64 - 1
+
+    def spread(h):
+        h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 & full
+        h = (h ^ h >> 27) * 0x94D049BB133111EB & full
+        return h ^ h >> 31
+
+    def word(w):
+        if len(w) > 256:
+            return xxhash.xxh64_intdigest(w, 9)
+        parts = [int.from_bytes(w[i : i + 8], "little") for i in range(0, len(w), 8)]
+        h = spread((parts[0] * 0x9E3779B97F4A7C15 + len(w) * 0xC2B2AE3D27D4EB4F) & full)
+        for p in parts[1:]:
+            h = spread((h * 0x9E3779B97F4A7C15 + p * 0x165667B19E3779F9) & full)
+        return h
+
+    w = [word(x) for x in words(text, lower=False)]
+    k = min(5, len(w))
+    total = lambda i: spread(sum(w[i + j] * int(sketch._TURN[j]) for j in range(k)) + k & full)
+    return {h >> 14 for h in (total(i) for i in range(len(w) - k + 1 if w else 0)) if h < 2**62}
+
+
+def test_sketches_by_hand(spark, texts):
+    rows = sorted([*texts.items(), (10**6, ""), (10**6 + 1, "one two"), (10**6 + 2, "one two"), (2**60, "a b c d e " + "x" * 300), (2**60 + 1, "long text of many words " * 40_000)])
+    out = {r["doc_id"]: r for r in sketch.fingerprints(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    assert len(out) == len(rows)
+
+    def like(a, b, same):
+        return 1.0 if same else len(a & b) / min(len(a), len(b)) if a and b else 0.0
+
+    for (i, t), (_, u) in zip(rows, rows[1:] + rows[:1]):
+        r, changed = out[i], sketch.edited(t, u)
+        a, e, n = (brute_sketch(x) for x in (t, changed, u))
+        assert set(sketch.read_fingerprint(r["fingerprint"]).tolist()) == a and set(sketch.read_fingerprint(r["edited_fingerprint"]).tolist()) == e
+        assert r["near_edited"] == like(a, e, (a == e and a) or (not a and not e and t == changed))
+        assert r["near_next"] == like(a, n, (a == n and a) or (not a and not n and t == u))
+
+
+def test_sketch_error_against_true_containment(texts):
+    """Mean error of the estimate by the number of words; short texts have few kept hashes."""
+    some = [t for t in texts.values() if len(t.split()) >= 100]
+    wrong = []
+    for t, u in zip(some, some[1:]):
+        (_, _, _, _, _, near, _), sets = sketch.compare([(0, t), (1, u)])[0], []
+        for x in (t, sketch.edited(t, u)):
+            w = x.encode().split()
+            sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)})
+        wrong.append(abs(near - len(sets[0] & sets[1]) / min(map(len, sets))))
+    assert np.mean(wrong) < 0.06 and np.quantile(wrong, 0.95) < 0.2
+
+
 def test_sketch_estimates_containment():
     r = random.Random(4)
     w = [f"w{r.randint(0, 10**6)}" for _ in range(20_000)]
     whole, part = " ".join(w), " ".join(w[3000:4000])
     a, b = sketch.sketch(whole), sketch.sketch(part)
     assert sketch.likeness(a, b, False) > 0.99 and abs(len(b) / 996 - 1 / sketch.KEEP_ONE_IN) < 0.06
-    assert np.array_equal(sketch.read_fingerprint(sketch.fingerprint(whole, a)), a)
+    assert np.array_equal(sketch.read_fingerprint(sketch.fingerprint(whole.encode(), a)), a)
     left, right = " ".join(w[:10_004]), " ".join(w[10_000:])
     assert np.array_equal(sketch.merge(sketch.sketch(left), sketch.sketch(right)), a)
 

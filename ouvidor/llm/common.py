@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from ouvidor.sources.tables import spread
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _made: dict[str, list[str]] = {}
 
 
@@ -38,10 +39,16 @@ def scratch_root(spark: SparkSession) -> str:
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to a table in the shared scratch folder and read it back: the lineage ends there,
-    so work before it runs once and a lost executor costs no more than the stage it was in."""
+    so work before it runs once and a lost executor costs no more than the stage it was in. Spark is asked to
+    delete the shuffle files of the write once it is done."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/ouvidor-tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEAN_UP, None)
+    spark.conf.set(_CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEAN_UP) if before is None else spark.conf.set(_CLEAN_UP, before)
     _made.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 

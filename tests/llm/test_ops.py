@@ -118,6 +118,16 @@ def test_packer_keeps_few_windows():
 
 
 # 3
+def runs_of(parts):
+    out = []
+    for a, e in sorted(parts):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], e))
+        else:
+            out.append((a, e))
+    return out
+
+
 def brute_removals(rows, length):
     seen = Counter()
     raws = [(i, (t or "").encode()) for i, t in rows]
@@ -125,25 +135,23 @@ def brute_removals(rows, length):
         seen.update(raw[k : k + length] for k in range(len(raw) - length + 1))
     out = []
     for i, raw in raws:
-        runs = suffix.merged([(k, k + length) for k in range(len(raw) - length + 1) if seen[raw[k : k + length]] > 1])
+        runs = runs_of([(k, k + length) for k in range(len(raw) - length + 1) if seen[raw[k : k + length]] > 1])
         out.append((i, len(raw), sum(e - a for a, e in runs), len(runs), hashlib.sha256(suffix.without(raw, runs)).hexdigest()))
     return sorted(out, key=repr)
 
 
 def test_suffix_dedup(spark, awkward):
     df, rows = awkward
-    small = [(i, t) for i, t in rows if i != 600]
-    df = df.where("doc_id is null or doc_id <> 600")
-    want = brute_removals(small, 200)
+    want = brute_removals(rows, 200)  # the long text too
     assert any(0 < w[2] < w[1] for w in want) or any(w[2] for w in want)
     assert got(suffix.removals(df)) == want
     assert suffix.removals(nothing(spark)).count() == 0
     assert suffix.cut(nothing(spark)).count() == 0
 
 
-@pytest.mark.parametrize("hot", [8000, 1])
-def test_suffix_dedup_passages(spark, hot):
-    """Passages at all offsets, texts of few letters, copies; with ``hot`` = 1 all buckets take the way of the large ones."""
+@pytest.mark.parametrize("frequent, split", [(64, 512), (64, 1), (1, 1), (1, 512), (3, 4)])
+def test_suffix_dedup_passages(spark, frequent, split):
+    """Passages at all offsets, texts of few letters, copies; with small bounds the anchor strings take the way of frequent ones."""
     r = random.Random(5)
     passages = ["".join(r.choices("abcdefgh ", k=n)) for n in (200, 201, 350, 900)]
     rows = []
@@ -154,24 +162,54 @@ def test_suffix_dedup_passages(spark, hot):
         rows.append((i, t))
     rows += [(100, "ab" * 400), (101, "b" * 150), (102, "b" * 150), (103, "ba" * 120), (104, rows[3][1]), (105, rows[3][1])]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    assert got(suffix.removals(df, hot=hot)) == brute_removals(rows, 200)
-    cut = {x["doc_id"]: x["text"] for x in suffix.cut(df, hot=hot).collect()}
+    assert got(suffix.removals(df, frequent=frequent, split=split)) == brute_removals(rows, 200)
+    cut = {x["doc_id"]: x["text"] for x in suffix.cut(df, frequent=frequent, split=split).collect()}
     assert {i: len(t.encode()) for i, t in cut.items()} == {w[0]: w[1] - w[2] for w in brute_removals(rows, 200)}
 
 
 def test_long_texts_go_in_stretches(spark, monkeypatch):
-    monkeypatch.setattr(suffix, "BUFFER", 1000)
     r = random.Random(6)
     same = "".join(r.choices("abcdefgh", k=700))
     rows = [(1, "".join(r.choices("abcdefgh", k=5000)) + same + "q" * 50), (2, "z" + same + "".join(r.choices("abcdefgh", k=3000)))]
-    run = suffix._anchor_rows(200, 48)
-    import pyarrow as pa
-
-    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows]), pa.array([0, 0]), pa.array([t for _, t in rows])], names=["id", "t", "text"])
-    spans = [(x["id"], x["a"], x["e"]) for b in run([batch]) for x in b.to_pylist()]
-    for i, t in rows:  # every window is under one anchor
-        starts = sorted(s for d, a, e in spans if d == i for s in range(a, e - 199))
-        assert starts == list(range(len(t) - 199))
+    rows += [(3, "".join(r.choices("abcdefgh ", k=150_000))), (4, "x"), (5, None)]
+    rows += [(6, "y" * 70_001 + rows[2][1][60_000:70_000] + rows[2][1][:300]), (6, "é" * 40_000)]  # windows over the edges of stretches
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_removals(rows, 200)
+    assert got(suffix.removals(df)) == want
+    assert {(x["doc_id"], len((x["text"] or "").encode())) for x in suffix.cut(df).collect()} == {(w[0], w[1] - w[2]) for w in want}
+
+
+@pytest.mark.parametrize("buffer", [1000, 1 << 16])
+def test_every_window_is_under_one_anchor(monkeypatch, buffer):
+    r = random.Random(6)
+    raw = bytes(r.choices(b"abcdefgh", k=9000))
+    starts = []
+    for at in range(0, len(raw) - 199, buffer):
+        part = raw[at : at + buffer + 199]
+        _, h, c, a, e = suffix.anchors(np.frombuffer(part, dtype=np.uint8), np.array([len(part)]))
+        starts += [at + s for x, y in zip(a, e) for s in range(x, y - 199)]
+    assert sorted(starts) == list(range(len(raw) - 199))
+
+
+def test_repeat_groups_cover_what_is_removed(spark):
+    """All removed bytes are in intervals of the suffix arrays, each with all its places."""
+    r = random.Random(8)
+    passage = "".join(r.choices("abcdefgh", k=500))
+    rows = [(i, "".join(r.choices("abcdefgh", k=r.randint(0, 200))) + passage[r.randint(0, 100) : r.randint(300, 500)]) for i in range(30)]
+    rows += [(100, rows[0][1]), (100, rows[0][1]), (None, passage)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    groups, spans = defaultdict(list), defaultdict(list)
+    for x in suffix.repeat_groups(df).collect():
+        groups[x["grp"], x["length"]].append((x["doc_id"], x["offset"]))
+        spans[x["doc_id"]].append((x["offset"], x["offset"] + x["length"]))
+    by_id = defaultdict(set)
+    for i, t in rows:
+        by_id[i].add(t)
+    for (_, n), at in groups.items():
+        assert len(at) > 1 and n >= 200
+        assert len({t[o : o + n] for i, o in at for t in by_id[i]}) == 1
+    for i, _, gone, *_ in brute_removals(rows, 200):
+        assert sum(e - a for a, e in runs_of(spans[i])) == gone
 
 
 def test_maximal_repeats():

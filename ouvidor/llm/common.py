@@ -37,7 +37,7 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Write ``df`` once to a table in the shared scratch folder and read it back: the lineage ends there,
     so work before it runs once and a lost executor costs no more than the stage it was in. Spark is asked to
     delete the shuffle files of the write once it is done."""
@@ -46,7 +46,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     before = spark.conf.get(_CLEAN_UP, None)
     spark.conf.set(_CLEAN_UP, "true")
     try:
-        df.write.parquet(path)
+        df.write.parquet(path, compression=codec)
     finally:
         spark.conf.unset(_CLEAN_UP) if before is None else spark.conf.set(_CLEAN_UP, before)
     _made.setdefault(spark.sparkContext.applicationId, []).append(path)

@@ -4,58 +4,51 @@ The filter holds n-grams with their counts on a logarithmic scale: an n-gram of
 numbers 1 to q; a reader probes 1, 2, ... until a probe fails. Levels are one-sided: never too low, too high
 with the small chance of a false positive.
 
-The model: words (ASCII lower case) and one end of text. Every word and every pair of neighbouring words of the training
-texts is in the filter.
-
-* p1(w): the share of the word's count. A word that training has not seen has the mass of the words seen once times the mean
-  of an even share among words so unknown and the probability of its spelling by byte trigrams, learned from the words seen once.
-* p(w | v) = L * p2(w | v) + (1 - L) * p1(w), where p2 is the least count of the pair's level, less a discount, over
-  the greatest of the level of v, so that the p2 of one v never sum to more than 1 but for false positives. The discount is
-  Ney's estimate from the corpus, n1 / (n1 + 2 n2) of n1 pairs seen once and n2 seen twice.
-
-The filter grows with the corpus and is built in tasks, a piece for each hash range of about ``PIECE`` entries. Pieces of words and
-spellings are broadcast, several to a broadcast of at most ``MOST_BYTES``; where there are several, a worker holds one at a time.
-Pieces of pairs stay on disk: the pairs of the texts are dealt by the same ranges to them, packed for each piece and batch, and the sums
-go back. Pairs of at least one in ``HOT`` tokens are broadcast as well (at most HOT of them), so that no piece is asked one pair by all.
-
-For the base score, exact counts of the ``VOCAB`` most frequent words are broadcast; those of all other words are met in a join. How
-many are broadcast has no effect on a score.
+The model: words (ASCII lower case) and one end of text, which also stands before the first word.
+
+* p1(w) of a word that training has seen is its share of the counts times 1 - u; u, the share of the words seen once, is the mass
+  of all words that it has not seen, each of which gets as much as if there were one more of them than of words seen once.
+* p(w | v) = L p2(w | v) + (1 - L) p1(w). p2 is the least count of the level that the filter gives for the pair, over the count of
+  v, so that the p2 of one v sum to 1 at most but for false positives. L depends on the level of v's count and is learned by
+  expectation maximisation from all training tokens, each left out of the counts that predict it.
+
+Every word and every pair of neighbouring words of the training texts is counted; all grows with the corpus. Words are 64-bit hashes, so
+counts are exact but for their collisions; a pair is known by 40 bits within its piece of the filter.
+
+Texts are read once, in flushes of about ``FLUSH`` tokens. A flush is stored as tokens and asks for its distinct words and pairs, dealt by
+hash to pieces; the questions carry the flush's training counts, so that a piece sums them up, and answers. The
+pieces of the filter are broadcast where their proven bound, BITS_EACH bits for each training token, is at most
+``MOST_BROADCAST``. Beyond that each piece is probed in the task that builds it, by the questions dealt to it, and levels go back to the flushes.
+Both ways probe the same filter and give the same scores.
 """
 
 from __future__ import annotations
 
-import pickle
-from collections import Counter
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ouvidor.llm.common import free_shuffles, materialise, strings, text_of
+from ouvidor.llm.common import drop_table, free_shuffles, materialise, shuffle_partitions, strings, text_of
+from ouvidor.llm.words import batches as grouped
+from ouvidor.llm.words import hash_words, mix
 
-VOCAB, LAMBDA = 300_000, 0.3
-PIECE, LEAST_BITS, HOT = 1 << 20, 5, 100_000
-GROWTH, HASHES, BITS_EACH, MOST_BYTES = 1.5, 4, 12, 1 << 26
-END = b""  # no word is empty
-FLUSH_WORDS, BATCH_WORDS, BATCH_TEXTS, FLUSH_KEYS = 400_000, 300_000, 60_000, 3_000_000
+GROWTH, HASHES, BITS_EACH, MOST_BROADCAST = 1.5, 6, 20, 64 << 20
+FLUSH, BATCH_BYTES, CHUNK = 1 << 19, 1 << 16, 1 << 14  # tokens, bytes, and keys or tokens at a time in the processor's cache
+KEY_BITS = 40
+STEP, SPREAD = 0.02, 10.0  # bins of the logarithm of p2 / p1, and how far they go
 _U = np.uint64
-
-
-def mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> _U(27))) * _U(0x94D049BB133111EB)
-    return h ^ (h >> _U(31))
+END = _U(0xE4D0F7E47)  # stands for the end of a text; a word has this hash once in 2 ** 64
 
 
 class LogBloom:
-    """Log-frequency Bloom filter over 64-bit keys."""
+    """Log-frequency Bloom filter over 64-bit keys, for ``items`` entries (the sum of all levels)."""
 
-    def __init__(self, items: int, most_bytes: int = MOST_BYTES):
-        size = 1 << max(13, int(np.ceil(np.log2(max(1, items) * BITS_EACH))))
-        self.bits = np.zeros(min(size, most_bytes * 8) // 8, dtype=np.uint8)
+    def __init__(self, items: int):
+        self.bits = np.zeros(max(1024, int(items) * BITS_EACH + 7) // 8, dtype=np.uint8)
 
     @staticmethod
     def level(counts: np.ndarray) -> np.ndarray:
@@ -64,16 +57,9 @@ class LogBloom:
         return np.where(counts > 0, 1 + np.floor(np.log(np.maximum(counts, 1)) / np.log(GROWTH) + 1e-9), 0).astype(np.int64)
 
     @staticmethod
-    def ends(levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The smallest and largest count of a level; 0 for level 0."""
-        low, high = np.ceil(GROWTH ** (levels - 1.0) - 1e-9), np.ceil(GROWTH ** (levels * 1.0) - 1e-9) - 1
-        return np.where(levels > 0, low, 0.0), np.where(levels > 0, np.maximum(high, low), 0.0)
-
-    @staticmethod
-    def value(levels: np.ndarray) -> np.ndarray:
-        """The geometric mean of a level's smallest and largest count; 0 for level 0."""
-        low, high = LogBloom.ends(levels)
-        return np.sqrt(low * high)
+    def least(levels: np.ndarray) -> np.ndarray:
+        """The smallest count of a level; 0 for level 0."""
+        return np.where(levels > 0, np.ceil(GROWTH ** (levels - 1.0) - 1e-9), 0.0)
 
     @classmethod
     def of(cls, bits: bytes) -> LogBloom:
@@ -82,514 +68,362 @@ class LogBloom:
         return bloom
 
     def _places(self, keys: np.ndarray, level: int):
-        h = mix(keys.astype(np.uint64) + _U(level * 0x9E3779B97F4A7C15 & (2**64 - 1)))
-        step, mask = mix(h) | _U(1), _U(len(self.bits) * 8 - 1)
-        for i in range(HASHES):
-            yield (h + _U(i) * step) & mask
+        h = mix(keys + _U(level * 0x9E3779B97F4A7C15 & (2**64 - 1)))
+        size, step = _U(len(self.bits) * 8), (h >> _U(17)) | _U(1)
+        for _ in range(HASHES):
+            yield (h >> _U(32)) * size >> _U(32)
+            h = (h + step) * _U(0xD6E8FEB86659FD93)
 
     def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
-        levels = self.level(counts)
-        for level in range(1, int(levels.max(initial=0)) + 1):
-            for place in self._places(keys[levels >= level], level):
-                np.bitwise_or.at(self.bits, (place >> _U(3)).astype(np.int64), (1 << (place & _U(7))).astype(np.uint8))
-
-    def get(self, keys: np.ndarray) -> np.ndarray:
-        """Estimated counts."""
-        return self.value(self.levels(keys))
+        flags = np.unpackbits(self.bits, bitorder="little")
+        for i in range(0, len(keys), CHUNK):
+            some, levels = keys[i : i + CHUNK], self.level(counts[i : i + CHUNK])
+            for level in range(1, int(levels.max(initial=0)) + 1):
+                for place in self._places(some[levels >= level] if level > 1 else some[levels > 0], level):
+                    flags[place] = 1
+        self.bits = np.packbits(flags, bitorder="little")
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
-        levels, live, level = np.zeros(len(keys), dtype=np.int64), np.arange(len(keys)), 1
-        while len(live):
-            held = np.ones(len(live), dtype=bool)
+        return np.concatenate([self._levels(keys[i : i + CHUNK]) for i in range(0, max(len(keys), 1), CHUNK)])
+
+    def _levels(self, keys: np.ndarray) -> np.ndarray:
+        levels, live, level = np.zeros(len(keys), dtype=np.uint8), np.arange(len(keys)), 1
+        while len(live) and level < 255:
+            kept = np.ones(len(live), dtype=bool)
             for place in self._places(keys[live], level):
-                held &= (self.bits[(place >> _U(3)).astype(np.int64)] >> (place & _U(7)).astype(np.uint8) & 1).astype(bool)
-            live = live[held]
+                kept &= (self.bits[place >> _U(3)] >> (place & _U(7)).astype(np.uint8) & 1).view(bool)
+            live = live[kept]
             levels[live] = level
             level += 1
         return levels
 
 
-def word_keys(words: list[bytes]) -> np.ndarray:
-    return np.array([xxhash.xxh64_intdigest(w, 1) for w in words], dtype=np.uint64)
+def token_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens of all texts, number of tokens of each): the words in ASCII lower case, then the end."""
+    h, first = hash_words([t.encode("utf-8").lower() for t in texts])
+    return np.insert(h, first[1:], END), np.diff(first) + 1
 
 
-TRIGRAM, BIGRAM = 2 << 40, 3 << 40  # kinds of n-gram keys, beside those of words
-
-
-def ngram_keys(keys: np.ndarray) -> np.ndarray:
-    return mix(keys.astype(np.uint64) * _U(2) + _U(1))
-
-
-def pair_keys(first: np.ndarray, second: np.ndarray, bits: int) -> np.ndarray:
-    """A piece of ``bits`` bits and 40 bits within it (about one in a million keys of a piece meets another); the rest is 0."""
-    rest = _U(24 - bits)
-    return mix(mix(first) * _U(3) + second) >> rest << rest
+def pair_keys(tokens: np.ndarray, bits: int) -> np.ndarray:
+    """Of each token and the one before it (the end before the first): ``bits`` bits that name a piece, and KEY_BITS within it; the rest is 0."""
+    rest = _U(64 - KEY_BITS - bits)
+    return mix(mix(np.concatenate([[END], tokens[:-1]])) * _U(3) + tokens) >> rest << rest
 
 
 def shorten(keys: np.ndarray, bits: int) -> bytes:
-    """The 40 bits of each pair's key within its piece."""
-    return (keys << _U(bits) >> _U(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+    """The KEY_BITS of each pair's key within its piece."""
+    return (keys << _U(bits) >> _U(64 - KEY_BITS)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, : KEY_BITS // 8].tobytes()
 
 
 def lengthen(short: bytes, piece: int, bits: int) -> np.ndarray:
-    wide = np.zeros((len(short) // 5, 8), dtype=np.uint8)
-    wide[:, :5] = np.frombuffer(short, dtype=np.uint8).reshape(-1, 5)
-    return wide.view("<u8").ravel() << _U(24 - bits) | _U(piece << 64 - bits)
+    wide = np.zeros((len(short) // (KEY_BITS // 8), 8), dtype=np.uint8)
+    wide[:, : KEY_BITS // 8] = np.frombuffer(short, dtype=np.uint8).reshape(-1, KEY_BITS // 8)
+    return wide.view("<u8").ravel() << _U(64 - KEY_BITS - bits) | _U(piece << 64 - bits)
 
 
-def piece_bits(entries: int) -> int:
-    """Leading bits of a key that name its piece."""
-    return max(LEAST_BITS, int(np.ceil(np.log2(max(1, entries) / PIECE))))
+def small(counts: np.ndarray) -> tuple[bytes, bytes]:
+    """Counts as bytes, those of 255 and more apart."""
+    return np.minimum(counts, 255).astype(np.uint8).tobytes(), counts[counts >= 255].astype("<i8").tobytes()
 
 
-def runs(keys: np.ndarray, bits: int):
-    """(piece, from, to) over sorted keys."""
-    pieces, first = np.unique(keys >> _U(64 - bits), return_index=True)
-    return zip(pieces.tolist(), first.tolist(), [*first[1:].tolist(), len(keys)])
+def large(counts: bytes, more: bytes) -> np.ndarray:
+    out = np.frombuffer(counts, dtype=np.uint8).astype(np.int64)
+    out[out == 255] = np.frombuffer(more, dtype="<i8")
+    return out
 
 
-def tokens(text: str) -> list[bytes]:
-    words = text.encode("utf-8").lower().split()  # bytes: A-Z only, ASCII white space only
-    words.append(END)
-    return words
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted distinct keys, number of each key's place among them)."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    new = np.ones(len(keys), dtype=bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    back = np.empty(len(keys), dtype=np.int64)
+    back[order] = np.cumsum(new) - 1
+    return ordered[new], back
 
 
-def spellings(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(trigram keys, keys of their first two bytes, number of the word) over all words; a word has two 0 before it and one after."""
-    sizes = np.array([len(w) + 1 for w in words], dtype=np.int64)
-    line = np.frombuffer(b"\x00\x00" + b"\x00\x00\x00".join(words) + b"\x00", dtype=np.uint8).astype(np.int64)
-    owner = np.repeat(np.arange(len(words)), sizes)
-    at = np.arange(len(owner)) + 2 * owner + 2
-    two = line[at - 2] << 8 | line[at - 1]
-    return TRIGRAM | two << 8 | line[at], BIGRAM | two, owner
+def pieces_of(keys: np.ndarray, bits: int):
+    """(piece, from, to) over sorted keys."""
+    cuts = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << _U(64 - bits)).tolist() + [len(keys)]
+    return [(p, a, b) for p, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
 
 
-class Pieces:
-    """The filter of words and spellings: broadcasts of consecutive pieces; with several, one at a time is in memory."""
+_STORE = "f long, docs binary, words binary, tokens binary"
+_ASKED = "f long, piece int, keys binary, n binary, more binary"
+WORDS, PAIRS = 1, 2
+DOC = np.dtype([("id", "<i8"), ("has_id", "u1"), ("held", "u1"), ("n", "<i8")])
 
-    def __init__(self, chunks: list, bits: int):
-        self.chunks, self.bits = chunks, bits  # (first piece, one beyond the last, broadcast of {piece: bits})
 
-    def levels(self, keys: np.ndarray) -> np.ndarray:
-        keys = keys.astype(np.uint64)
-        order = np.argsort(keys, kind="stable")
-        found, inside = np.zeros(len(keys), dtype=np.int64), list(runs(keys[order], self.bits)) if len(keys) else []
-        for low, high, shared in self.chunks:
-            mine = [r for r in inside if low <= r[0] < high]
-            held = shared.value if mine else {}
-            for piece, at, to in mine:
-                if piece in held:
-                    found[order[at:to]] = LogBloom.of(held[piece]).levels(keys[order[at:to]])
-            if len(self.chunks) > 1:
-                shared.__dict__.pop("_value", None)
-        return found
-
-    def get(self, keys: np.ndarray) -> np.ndarray:
-        return LogBloom.value(self.levels(keys))
-
-
-class Model:
-    """What the workers get: frequent words with exact counts, filter of words and spellings, frequent pairs, totals.
-
-    ``mass`` is the sum of the filter's counts over all words; where it is None, ``words`` are all words.
-    """
+def batch_of(schema: str, **columns) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "double": pa.float64(), "boolean": pa.bool_()}
+    n = len(next(iter(columns.values())))
+    fields = [x.split() for x in schema.split(", ")]
+    arrays = [pa.array(columns[k], type=kinds[t]) if k in columns else pa.nulls(n, kinds[t]) for k, t in fields]
+    return pa.RecordBatch.from_arrays(arrays, names=[k for k, _ in fields])
 
-    def __init__(self, words, counts, bloom, hot, n, v, once, mass=None, bits=LEAST_BITS, discount=0.0):
-        self.words, self.counts, self.bloom, self.hot, self.n, self.v, self.once, self.mass, self.bits, self.discount = words, counts, bloom, hot, n, v, once, mass, bits, discount
-        self.index = None
 
-    def ready(self) -> Model:
-        if self.index is not None:
-            return self
-        self.index = {w: i for i, w in enumerate(self.words)}
-        self.base_of = np.log10((self.counts + 0.5) / (self.n + 0.5 * (self.v + 1)))
-        self.keys = word_keys(self.words)
-        self.end_key = word_keys([END])
-        self.unknown = (self.once + 0.5) / (self.n + self.once + 1)
-        self.even = 1 / (self.once + 1)
-        if self.bloom is not None:
-            self.levels = self.bloom.levels(self.keys)
-            self.end_level = self.bloom.levels(self.end_key)
-            mass = LogBloom.value(self.levels).sum() if self.mass is None else self.mass
-            self.p1_of = p1_of_levels(self.unknown, mass)
-            self.p1 = self.p1_of[self.levels]
-        return self
+def _store_rows(batches):
+    """Texts (doc_id, held_out, text) -> a row for each flush: documents, distinct words (the most frequent first) and tokens (numbers of words)."""
 
-    def look_up(self, words: list[bytes]):
-        """(ids of the words held here or -1, keys of all, distinct words not held, which of these each of the others is)"""
-        get = self.index.get
-        ids = np.array([get(w, -1) for w in words], dtype=np.int64)
-        outside = np.flatnonzero(ids < 0)
-        place: dict[bytes, int] = {}
-        back = np.array([place.setdefault(words[i], len(place)) for i in outside.tolist()], dtype=np.int64)
-        keys = np.zeros(len(ids), dtype=np.uint64)
-        keys[ids >= 0] = self.keys[ids[ids >= 0]]
-        names = list(place)
-        keys[outside] = word_keys(names)[back]
-        return ids, keys, names, back
+    def flush(f: int, docs: list, parts: list) -> pa.RecordBatch:
+        tokens, sizes = np.concatenate([t for t, _ in parts]), np.concatenate([n for _, n in parts])
+        words, at = distinct(tokens)
+        order = np.argsort(-np.bincount(at, minlength=len(words)), kind="stable")
+        rank = np.empty(len(words), dtype="<u4")
+        rank[order] = np.arange(len(words))
+        about = np.zeros(len(docs), dtype=DOC)
+        about["id"], about["has_id"], about["held"], about["n"] = [d[0] or 0 for d in docs], [d[0] is not None for d in docs], [d[1] for d in docs], sizes
+        planes = rank[at].view(np.uint8).reshape(-1, 4).T  # all lowest bytes, then all second ones, ...: the higher ones are mostly 0
+        return batch_of(_STORE, f=[f], docs=[about.tobytes()], words=[words[order].tobytes()], tokens=[planes.tobytes()])
 
-    def spelled(self, words: list[bytes]) -> np.ndarray:
-        """log10 probability of each word's bytes."""
-        three, two, owner = spellings(words)
-        names, back = np.unique(three, return_inverse=True)
-        contexts, back2 = np.unique(two, return_inverse=True)
-        found = self.bloom.get(ngram_keys(np.concatenate([names, contexts])))
-        c3, c2 = found[: len(names)][back], found[len(names) :][back2]
-        return np.bincount(owner, weights=np.log10(np.minimum((c3 + 0.1) / (c2 + 25.6), 1.0)), minlength=len(words))
+    base, flushes, docs, parts, count = TaskContext.get().partitionId() << 32, 0, [], [], 0
+    rows = ((d, o, t) for b in batches for d, o, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strings(b.column(2))))
+    for some in grouped(rows, lambda r: len(r[2]) + 16, BATCH_BYTES):
+        parts.append(token_hashes([t for _, _, t in some]))
+        docs += [(d, o) for d, o, _ in some]
+        count += len(parts[-1][0])
+        if count >= FLUSH:
+            yield flush(base + flushes, docs, parts)
+            docs, parts, count, flushes = [], [], 0, flushes + 1
+    if docs:
+        yield flush(base + flushes, docs, parts)
 
 
-def p1_of_levels(unknown: float, mass: float) -> np.ndarray:
-    return (1 - unknown) * LogBloom.value(np.arange(256)) / max(mass, 1.0)
+def _open(docs: bytes, words: bytes, tokens: bytes):
+    """(documents, hashes or counts of the distinct words, which of them each token is)."""
+    docs = np.frombuffer(docs, dtype=DOC)
+    at = np.ascontiguousarray(np.frombuffer(tokens, dtype=np.uint8).reshape(4, -1).T).view("<u4").ravel()
+    return docs, np.frombuffer(words, dtype=np.uint64), at.astype(np.int64)
 
 
-def blend(p2: np.ndarray, p1: np.ndarray) -> np.ndarray:
-    return np.log10(np.maximum(LAMBDA * p2 + (1 - LAMBDA) * p1, 1e-300))
+def _questions(kind: int, bits: int):
+    """Flushes -> what each asks for, by piece, with its training counts."""
 
+    def run(batches):
+        for batch in batches:
+            for f, *columns in zip(*(c.to_pylist() for c in batch.columns)):
+                docs, words, at = _open(*columns)
+                train = np.repeat(docs["held"] == 0, docs["n"])
+                if kind == WORDS:
+                    order = np.argsort(words)
+                    keys, counts = words[order], np.bincount(at[train], minlength=len(words))[order]
+                else:
+                    marked = np.sort(pair_keys(words[at], bits) | train)  # the last bit is free
+                    keys = marked & ~_U(1)
+                    new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+                    keys, counts = keys[new], np.add.reduceat((marked & _U(1)).astype(np.int64), new)
+                rows = [(p, keys[a:b].tobytes() if kind == WORDS else shorten(keys[a:b], bits), *small(counts[a:b])) for p, a, b in pieces_of(keys, bits)]
+                piece, short, n, more = zip(*rows)
+                yield batch_of(_ASKED, f=[f] * len(rows), piece=piece, keys=short, n=n, more=more)
 
-def p2_of(pair: np.ndarray, first: np.ndarray, discount: float) -> np.ndarray:
-    """From the levels of the pair and of its first word."""
-    return np.minimum(np.maximum(LogBloom.ends(pair)[0] - discount, 0) / np.maximum(LogBloom.ends(first)[1], 1), 1.0)
+    return run
 
 
-_models: dict[int, Model] = {}
+_ANSWERS = "f long, kind int, piece int, answer binary, n long, v long, n1 long, n2 long, bits binary"
 
 
-def _model(shared) -> Model:
-    if shared.id not in _models:
-        _models.clear()
-        _models[shared.id] = pickle.loads(shared.value).ready()
-    return _models[shared.id]
+def _summed(keys: np.ndarray, counts: np.ndarray):
+    """(sorted distinct keys, sums of their counts, order that sorts the keys, how often each distinct one stands there)."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    new = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    return ordered[new], np.add.reduceat(counts[order], new), order, np.diff(np.append(new, len(keys)))
 
 
-class Shared:
-    """A broadcast with a name of its own, by which a worker finds the model that it has unpacked."""
+def _replies(table: pa.Table, kind: int, size: int, found: np.ndarray, order: np.ndarray, often: np.ndarray) -> pa.RecordBatch:
+    """What was found for each distinct key, dealt back to the questions (keys of ``size`` bytes) as they came."""
+    replies = np.empty(len(order), dtype=found.dtype)
+    replies[order] = np.repeat(found, often)
+    ends = np.cumsum([len(b) // size for b in table["keys"].to_pylist()])
+    return batch_of(_ANSWERS, f=table["f"].to_pylist(), kind=[kind] * len(ends), piece=table["piece"].to_pylist(), answer=[x.tobytes() for x in np.split(replies, ends[:-1])])
 
-    def __init__(self, spark, model: Model):
-        self.broadcast = spark.sparkContext.broadcast(pickle.dumps(model, protocol=5))
-        self.id = self.broadcast._jbroadcast.id()
 
-    def __getstate__(self):
-        return {"broadcast": self.broadcast, "id": self.id}
+def _summary(piece: int, kind: int, counts: np.ndarray, bits: bytes | None) -> pa.RecordBatch:
+    facts = {"n": counts.sum(), "v": len(counts), "n1": (counts == 1).sum(), "n2": (counts == 2).sum()}
+    return batch_of(_ANSWERS, kind=[kind], piece=[piece], bits=[bits], **{k: [int(v)] for k, v in facts.items()})
 
-    @property
-    def value(self):
-        return self.broadcast.value
 
+def _count_words(table: pa.Table) -> pa.Table:
+    """Questions of a piece -> the training count of each word asked for, by flush; sums over the piece."""
+    keys = np.frombuffer(b"".join(table["keys"].to_pylist()), dtype=np.uint64)
+    _, sums, order, often = _summed(keys, np.concatenate([large(n, m) for n, m in zip(table["n"].to_pylist(), table["more"].to_pylist())]))
+    return pa.Table.from_batches([_replies(table, WORDS, 8, sums.astype("<i8"), order, often), _summary(table["piece"][0].as_py(), WORDS, sums[sums > 0], None)])
 
-def in_fold(id_col: str, fold: int = 1) -> Column:
-    return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.lit(5)) == fold
 
+def _build(bits: int, answer: bool):
+    """Questions of a piece -> its filter; where it isn't broadcast, the levels that its probes give for each question."""
 
-def write(df: DataFrame, name: str) -> DataFrame:
-    """materialise(), with Spark asked to delete the shuffle files of the write after it."""
-    conf, spark = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", df.sparkSession
-    before = spark.conf.get(conf, None)
-    spark.conf.set(conf, "true")
-    try:
-        return materialise(df, name)
-    finally:
-        spark.conf.unset(conf) if before is None else spark.conf.set(conf, before)
+    def run(table: pa.Table) -> pa.Table:
+        piece = table["piece"][0].as_py()
+        keys = lengthen(b"".join(table["keys"].to_pylist()), piece, bits)
+        keys, sums, order, often = _summed(keys, np.concatenate([large(n, m) for n, m in zip(table["n"].to_pylist(), table["more"].to_pylist())]))
+        known = sums > 0
+        bloom = LogBloom(int(LogBloom.level(sums).sum()))
+        bloom.add(keys[known], sums[known])
+        out = [_summary(piece, PAIRS, sums[known], None if answer else bloom.bits.tobytes())]
+        if answer:
+            out.append(_replies(table, PAIRS, KEY_BITS // 8, bloom.levels(keys), order, often))
+        return pa.Table.from_batches(out)
 
+    return run
 
-def count_words(train: DataFrame) -> DataFrame:
-    """(word, c) over all texts of column text; combined in a task for every FLUSH_WORDS distinct words."""
 
-    def run(batches):
-        held: Counter = Counter()
+@dataclass
+class Totals:
+    """Tokens, distinct words, words seen once, of the training texts."""
 
-        def flush():
-            return pa.RecordBatch.from_arrays([pa.array(list(held.keys()), type=pa.binary()), pa.array(list(held.values()), type=pa.int64())], names=["word", "c"])
+    n: int
+    v: int
+    once: int
 
-        for batch in batches:
-            for text in strings(batch.column(0)):
-                held.update(tokens(text))
-                if len(held) >= FLUSH_WORDS:
-                    yield flush()
-                    held.clear()
-        yield flush()
+    @property
+    def unseen(self) -> float:
+        return (self.once + 0.5) / (self.n + 1)
+
+    def base(self, counts: np.ndarray) -> np.ndarray:
+        return np.log10((counts + 0.5) / (self.n + 0.5 * (self.v + 1)))
 
-    return train.mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    def p1(self, counts: np.ndarray) -> np.ndarray:
+        return np.where(counts > 0, (1 - self.unseen) * counts / max(self.n, 1), self.unseen / (self.once + 1))
 
 
-def vocabulary(words: DataFrame, most: int = VOCAB) -> tuple[list[bytes], np.ndarray]:
-    """The words at and above the smallest count at which they are ``most`` or fewer, the most frequent first."""
-    step = F.floor(F.log(F.col("c").cast("double")) / F.log(F.lit(1.02)))
-    shown = words.groupBy(step.alias("step")).agg(F.count("*").alias("n"), F.min("c").alias("least")).collect()
-    least, seen = None, 0
-    for r in sorted(shown, key=lambda r: -r["step"]):
-        seen += r["n"]
-        if seen > most:
-            break
-        least = r["least"]
-    if least is None:
-        return [], np.zeros(0)
-    table = words.where(F.col("c") >= least).toPandas()  # at most ``most`` rows
-    table["word"] = [bytes(w) for w in table["word"]]
-    table = table.sort_values(["c", "word"], ascending=[False, True])
-    return table["word"].tolist(), table["c"].to_numpy(dtype=np.float64)
+def p2(least: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """From the least counts of the pairs' levels and the counts of their first words."""
+    return np.where(before > 0, np.minimum(least / np.maximum(before, 1), 1.0), 0.0)
 
 
-def summed(parts) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted distinct keys, sums) of parts (keys, counts)."""
-    keys, n = np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts])
-    keys, back = np.unique(keys, return_inverse=True)
-    return keys, np.bincount(back, weights=n, minlength=len(keys)).astype(np.int64)
+_READY = "f long, docs binary, words binary, tokens binary, levels binary"
 
 
-_PACKED = "piece int, keys binary, n binary"
+def _ready(bits: int, shared):
+    """A flush and the answers to it -> its documents and tokens with the counts of its words and the level of each token's pair."""
 
+    def run(flushes: pa.Table, answers: pa.Table) -> pa.Table:
+        if not len(flushes):
+            return pa.Table.from_batches([batch_of(_READY, f=[])])
+        row = flushes.to_pylist()[0]
+        _, words, at = _open(row["docs"], row["words"], row["tokens"])
+        counts = np.empty(len(words), dtype="<i8")
+        said = sorted(zip(answers["kind"].to_pylist(), answers["piece"].to_pylist(), answers["answer"].to_pylist()), key=lambda x: x[:2])
+        counts[np.argsort(words)] = np.frombuffer(b"".join(a for k, _, a in said if k == WORDS), dtype="<i8")  # in the order of the pieces
+        keys, back = distinct(pair_keys(words[at], bits))
+        if shared is None:
+            levels = np.frombuffer(b"".join(a for k, _, a in said if k == PAIRS), dtype=np.uint8)
+        else:
+            levels = np.concatenate([LogBloom.of(shared.value[p]).levels(keys[a:b]) if p in shared.value else np.zeros(b - a, dtype=np.uint8) for p, a, b in pieces_of(keys, bits)])
+        return pa.Table.from_batches([batch_of(_READY, f=[row["f"]], docs=[row["docs"]], words=[counts.tobytes()], tokens=[row["tokens"]], levels=[levels[back].tobytes()])])
 
-def packed(keys: np.ndarray, n: np.ndarray, bits: int) -> pa.RecordBatch:
-    """One row for each piece of sorted keys."""
-    rows = [(p, keys[a:b].tobytes(), n[a:b].astype(np.int64).tobytes()) for p, a, b in runs(keys, bits)]
-    kinds = (pa.int32(), pa.binary(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], type=k) for i, k in enumerate(kinds)], names=["piece", "keys", "n"])
+    return run
 
 
-def count_pairs(train: DataFrame, shared: Shared) -> DataFrame:
-    """Counts of all pairs of neighbouring words, the end of the text before being the first's neighbour; packed by piece."""
+def _opened(batch):
+    """For each flush (counts of its words, [(documents, words of their tokens, words of the tokens before, pair levels)]), a few documents at a time."""
+    for docs, words, tokens, levels in zip(*(batch.column(name).to_pylist() for name in ("docs", "words", "tokens", "levels"))):
+        docs, counts, at = _open(docs, words, tokens)
+        levels, ends = np.frombuffer(levels, dtype=np.uint8), np.cumsum(docs["n"])
+        end = at[ends[0] - 1 : ends[0]]  # the word that is the end of a text, which also stands before its first one
+        cuts = np.unique(np.concatenate([[0], np.searchsorted(ends, np.arange(CHUNK, ends[-1], CHUNK)), [len(docs)]])).tolist()
 
-    def run(batches):
-        m = _model(shared)
-        held: list = []
+        def some(cuts=cuts, docs=docs, at=at, levels=levels, ends=ends, end=end):
+            for i, j in zip(cuts, cuts[1:]):
+                a, b = int(ends[i - 1]) if i else 0, int(ends[j - 1])
+                yield docs[i:j], at[a:b], np.concatenate([end, at[a : b - 1]]), levels[a:b]
 
-        def take(words):
-            _, keys, _, _ = m.look_up(words)
-            held.append(np.unique(pair_keys(np.concatenate([m.end_key, keys[:-1]]), keys, m.bits), return_counts=True))
+        yield counts.astype(np.int64), some()
 
-        words: list[bytes] = []
-        for batch in batches:
-            for text in strings(batch.column(0)):
-                words += tokens(text)
-                if len(words) >= BATCH_WORDS:
-                    take(words)
-                    words = []
-                    if sum(len(k) for k, _ in held) > FLUSH_KEYS:
-                        yield packed(*summed(held), m.bits)
-                        held.clear()
-        if words:
-            take(words)
-        if held:
-            yield packed(*summed(held), m.bits)
 
-    return train.mapInArrow(run, _PACKED)
+_BINS = "level int, bin int, n long"
 
 
-def count_names(words: DataFrame, bits: int) -> DataFrame:
-    """Counts of all words, and of the byte trigrams and bigrams of the words seen once; packed by piece."""
+def _ratios(totals: Totals):
+    """How p2 compares with p1 over the training tokens, each left out of the counts: numbers by level of the word before and bin."""
+    width = int(2 * SPREAD / STEP) + 2
+    least = np.maximum(LogBloom.least(np.arange(256)) - 1, 0)
 
     def run(batches):
-        held: list = []
+        held = np.zeros((256, width), dtype=np.int64)
         for batch in batches:
-            names, n = batch.column(0).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False)
-            held.append((word_keys(names), n))
-            single = [w for w, c in zip(names, n.tolist()) if c == 1]
-            if single:
-                three, two, _ = spellings(single)
-                held.append(np.unique(ngram_keys(np.concatenate([three, two])), return_counts=True))
-            if sum(len(k) for k, _ in held) > FLUSH_KEYS:
-                yield packed(*summed(held), bits)
-                held.clear()
-        if held:
-            yield packed(*summed(held), bits)
+            for counts, parts in _opened(batch):
+                p1, level = totals.p1(counts - 1), LogBloom.level(counts)
+                for docs, at, prior, levels in parts:
+                    train = np.flatnonzero(np.repeat(docs["held"] == 0, docs["n"]) & (counts[prior] > 1))
+                    at, prior, levels = at[train], prior[train], levels[train]
+                    ratio = np.minimum(least[levels] / np.maximum(counts[prior] - 1, 1), 1) / p1[at]
+                    bins = np.where(ratio > 0, np.round((np.log10(np.maximum(ratio, 1e-300)).clip(-SPREAD, SPREAD) + SPREAD) / STEP) + 1, 0).astype(np.int64)
+                    held += np.bincount(level[prior] * width + bins, minlength=256 * width).reshape(256, width)
+        level, bins = np.nonzero(held)
+        yield batch_of(_BINS, level=level, bin=bins, n=held[level, bins])
 
-    return words.select("word", "c").mapInArrow(run, _PACKED)
+    return run
 
 
-_PIECES = "piece int, bits binary, hot_keys binary, hot_n binary, n1 long, n2 long"
+def weights(rows, rounds: int = 100) -> np.ndarray:
+    """L for each level of the word before, from (level, bin, n), by expectation maximisation; levels without tokens lean on the next lower one."""
+    out, by_level = np.zeros(256), {}
+    for level, bin_, n in rows:
+        by_level.setdefault(level, []).append((0.0 if bin_ == 0 else 10 ** ((bin_ - 1) * STEP - SPREAD), n))
+    for level in range(1, 256):
+        out[level] = out[level - 1]
+        if level in by_level:
+            ratio, n = np.array(by_level[level], dtype=np.float64).T
+            share = 0.5
+            for _ in range(rounds):
+                share = float((n * share * ratio / (share * ratio + 1 - share)).sum() / n.sum())
+                share = min(max(share, 1e-6), 0.999)
+            out[level] = share
+    return out
 
 
-def build(counts: DataFrame, least: int) -> DataFrame:
-    """Packed counts -> the filter of each piece, and its keys of ``least`` occurrences or more with their exact counts, how many keys occur once and twice."""
+_SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
-    def run(table: pa.Table) -> pa.Table:
-        keys, n = summed([(np.frombuffer(k, dtype=np.uint64), np.frombuffer(c, dtype=np.int64)) for k, c in zip(table["keys"].to_pylist(), table["n"].to_pylist())])
-        bloom = LogBloom(int(LogBloom.level(n).sum()), 1 << 40)
-        bloom.add(keys, n)
-        hot = n >= least
-        row = {"piece": pa.array([table["piece"][0].as_py()], type=pa.int32())}
-        row |= {k: pa.array([x.tobytes()], type=pa.binary()) for k, x in (("bits", bloom.bits), ("hot_keys", keys[hot]), ("hot_n", n[hot]))}
-        return pa.table(row | {k: pa.array([int((n == c).sum())], type=pa.int64()) for k, c in (("n1", 1), ("n2", 2))})
-
-    return counts.groupBy("piece").applyInArrow(run, _PIECES)
-
-
-def share_pieces(pieces: DataFrame, bits: int, most_bytes: int = MOST_BYTES) -> Pieces:
-    """Broadcast the pieces in turn, at most ``most_bytes`` at once (or one piece)."""
-    sizes = {r["piece"]: r["size"] for r in pieces.select("piece", F.octet_length("bits").alias("size")).collect()}
-    cuts, total = [0], 0
-    for piece in range(1 << bits):
-        size = sizes.get(piece, 0)
-        if total + size > most_bytes and total:
-            cuts.append(piece)
-            total = 0
-        total += size
-    chunks = []
-    for low, high in zip(cuts, [*cuts[1:], 1 << bits]):
-        held = {r["piece"]: bytes(r["bits"]) for r in pieces.where((F.col("piece") >= low) & (F.col("piece") < high)).select("piece", "bits").collect()}
-        chunks.append((low, high, pieces.sparkSession.sparkContext.broadcast(held)))
-    return Pieces(chunks, bits)
-
-
-_ASKED = "piece int, keys binary, at binary, first binary, second binary"
-_PLACED = "uid long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, unknown array<struct<word: binary, tf: long>>, " + _ASKED
-_SCHEMA = pa.schema([
-    ("uid", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()),
-    ("unknown", pa.list_(pa.struct([("word", pa.binary()), ("tf", pa.int64())]))), ("piece", pa.int32()), ("keys", pa.binary()), ("at", pa.binary()), ("first", pa.binary()), ("second", pa.binary()),
-])
-
-
-def _rows(columns: dict) -> pa.RecordBatch:
-    size = len(next(iter(columns.values())))
-    return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(size, f.type) for f in _SCHEMA], schema=_SCHEMA)
-
-
-def _score_rows(shared: Shared):
-    """A row for each text, its score without the pairs that the pieces are asked for; and rows of these, one for each batch (uid: that
-    of its first text) and piece: keys, numbers of the texts in the batch, levels of the pair's first and second word."""
+
+def _scores(totals: Totals, shares: np.ndarray):
+    least = LogBloom.least(np.arange(256))
 
     def run(batches):
-        m = _model(shared)
-        part, number = TaskContext.get().partitionId(), 0
-        held: list = []
-
-        def flush():
-            nonlocal number
-            words = [w for x in held for w in x[2]]
-            ends = np.cumsum([len(x[2]) for x in held])
-            begin = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-            ids, keys, names, back = m.look_up(words)
-            inside, outside = ids >= 0, np.flatnonzero(ids < 0)
-            base, level = np.zeros(len(ids)), np.zeros(len(ids), dtype=np.int64)
-            base[inside], level[inside] = m.base_of[ids[inside]], m.levels[ids[inside]]
-            p1 = np.zeros(len(ids))
-            if len(outside):
-                found = m.bloom.levels(word_keys(names))
-                level[outside] = found[back]
-                new, share = np.flatnonzero(found == 0), np.zeros(len(names))
-                if len(new):
-                    share[new] = 0.5 * m.even + 0.5 * 10.0 ** np.maximum(m.spelled([names[i] for i in new.tolist()]), -280)
-                p1[outside] = m.unknown * share[back]
-            p1 = np.where(level > 0, m.p1_of[level], p1)
-            before = np.concatenate([m.end_level, level[:-1]])
-            asked = (level > 0) & (before > 0)  # a word that training has not seen is in no pair
-            pair, p2 = pair_keys(np.concatenate([m.end_key, keys[:-1]]), keys, m.bits), np.zeros(len(ids))
-            hot_keys, hot_levels = m.hot
-            if len(hot_keys):
-                spot = np.minimum(np.searchsorted(hot_keys, pair), len(hot_keys) - 1)
-                hot = asked & (hot_keys[spot] == pair)
-                p2[hot] = p2_of(hot_levels[spot[hot]], before[hot], m.discount)
-                asked &= ~hot
-            score = np.where(asked, 0.0, blend(p2, p1))
-            lists, offsets = [], [0]
-            for spots in np.split(outside, np.searchsorted(outside, ends[:-1])):
-                lists += sorted(Counter(words[i] for i in spots.tolist()).items())
-                offsets.append(len(lists))
-            items = pa.StructArray.from_arrays([pa.array([w for w, _ in lists], type=pa.binary()), pa.array([c for _, c in lists], type=pa.int64())], names=["word", "tf"])
-            sums = lambda x: np.add.reduceat(x, begin)  # noqa: E731  every text has its end token
-            uid = part << 36 | number
-            yield _rows({
-                "uid": pa.array([uid + i for i in range(len(held))], type=pa.int64()),
-                "doc_id": pa.array([x[0] for x in held], type=pa.int64()),
-                "held_out": pa.array([x[1] for x in held], type=pa.bool_()),
-                "n_tokens": pa.array(ends - begin, type=pa.int64()),
-                "known": pa.array(sums(inside.astype(np.int64)), type=pa.int64()),
-                "base": pa.array(sums(base)),
-                "score": pa.array(sums(score)),
-                "unknown": pa.ListArray.from_arrays(pa.array(offsets, type=pa.int32()), items),
-            })
-            owner = np.repeat(np.arange(len(held), dtype=np.uint16), ends - begin)
-            number += len(held)
-            spots = np.flatnonzero(asked)
-            if not len(spots):
-                return
-            spots = spots[np.argsort(pair[spots] >> _U(64 - m.bits), kind="stable")]  # within a piece as in the texts
-            columns = (pair[spots], owner[spots], before[spots].astype(np.uint8), level[spots].astype(np.uint8))
-            parts = [(p, shorten(columns[0][a:b], m.bits), *(x[a:b].tobytes() for x in columns[1:])) for p, a, b in runs(columns[0], m.bits)]
-            asks = {name: pa.array([p[i] for p in parts], type=_SCHEMA.field(name).type) for i, name in enumerate(("piece", "keys", "at", "first", "second"))}
-            yield _rows({"uid": pa.array([uid] * len(parts), type=pa.int64())} | asks)
-
-        size = 0
         for batch in batches:
-            for doc, out, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strings(batch.column(2))):
-                held.append((doc, out, tokens(text)))
-                size += len(held[-1][2])
-                if size >= BATCH_WORDS or len(held) >= BATCH_TEXTS:
-                    yield from flush()
-                    held, size = [], 0
-        if held:
-            yield from flush()
+            for counts, parts in _opened(batch):
+                base, p1, share, known = totals.base(counts), totals.p1(counts), shares[LogBloom.level(counts)], (counts > 0).astype(np.int64)
+                for docs, at, prior, levels in parts:
+                    before, much = counts[prior], share[prior]
+                    score = np.log10(much * p2(least[levels], before) + (1 - much) * p1[at])
+                    first = np.cumsum(docs["n"]) - docs["n"]
+                    ids = pa.array(docs["id"].tolist(), type=pa.int64(), mask=docs["has_id"] == 0)
+                    sums = {"n_known": known[at], "base_score": base[at], "score": score}
+                    yield batch_of(_SCORES, doc_id=ids, held_out=docs["held"] > 0, n_tokens=docs["n"].astype(np.int64), train_tokens=np.full(len(docs), totals.n), **{k: np.add.reduceat(x, first) for k, x in sums.items()})
 
     return run
 
 
-def _grouped(owner: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    names, back = np.unique(owner, return_inverse=True)
-    return names, np.bincount(back, weights=values, minlength=len(names))
-
-
-def ask(asked: DataFrame, pieces: DataFrame, bits: int, p1_of: np.ndarray, discount: float) -> DataFrame:
-    """(uid, more): what the pairs that were asked for add to each text's score."""
-    answer = pa.schema([("uid", pa.int64()), ("at", pa.binary()), ("more", pa.binary())])
-
-    def probe(asks: pa.Table, piece: pa.Table) -> pa.Table:
-        bloom, out = LogBloom.of(piece["bits"][0].as_py()) if len(piece) else LogBloom(0), []
-        for row in asks.to_pylist():
-            first, second = (np.frombuffer(row[k], dtype=np.uint8) for k in ("first", "second"))
-            levels = bloom.levels(lengthen(row["keys"], row["piece"], bits))
-            at, more = _grouped(np.frombuffer(row["at"], dtype=np.uint16), blend(p2_of(levels, first, discount), p1_of[second]))
-            out.append((row["uid"], at.tobytes(), more.astype(np.float32).tobytes()))
-        return pa.Table.from_arrays([pa.array([r[i] for r in out], type=f.type) for i, f in enumerate(answer)], schema=answer)
-
-    def gather(table: pa.Table) -> pa.Table:
-        at = np.concatenate([np.frombuffer(x, dtype=np.uint16) for x in table["at"].to_pylist()])
-        names, more = _grouped(at, np.concatenate([np.frombuffer(x, dtype=np.float32) for x in table["more"].to_pylist()]))
-        return pa.table({"uid": pa.array(table["uid"][0].as_py() + names.astype(np.int64)), "more": pa.array(more)})
-
-    answers = asked.groupBy("piece").cogroup(pieces.select("piece", "bits").groupBy("piece")).applyInArrow(probe, "uid long, at binary, more binary")
-    return answers.groupBy("uid").applyInArrow(gather, "uid long, more double")
+def in_fold(id_col: str, fold: int = 1) -> Column:
+    return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.lit(5)) == fold
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab: int = VOCAB) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """One row a document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Null and empty texts are the end alone; a null id counts as the text '' for the fold; repeated rows are
-    trained on and scored each. Without training texts every base term is log10(1) and the model spells evenly.
+    trained on and scored each. Without training texts every base term is log10(1), and every token has the probability 1/2.
     """
     spark = docs.sparkSession
+    bits = max(3, (shuffle_partitions(spark) - 1).bit_length())
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), in_fold(id_col).alias("held_out"), text_of(text_col).alias("text"))
-    train = texts.where(~F.col("held_out")).select("text")
-    words = write(count_words(train), "words")
-    found = words.groupBy("c").agg(F.count("*").alias("n")).toPandas()  # at most the square root of twice the tokens
-    count, many = found["c"].to_numpy(dtype=np.int64), found["n"].to_numpy(dtype=np.int64)
-    n, v, once = int((count * many).sum()), int(many.sum()), int(many[count == 1].sum())
-    mass = float((LogBloom.value(LogBloom.level(count)) * many).sum())
-    names, counts = vocabulary(words, vocab)
-    bits, none = piece_bits(n), np.zeros(0, dtype=np.uint64)
-    first = Shared(spark, Model(names, counts, None, (none, none), n, v, once, mass, bits))
-    pairs = write(build(count_pairs(train, first), max(n // HOT, 8)), "pairs")
+    store = materialise(texts.mapInArrow(_store_rows, _STORE), "store", "zstd")
+    asked = {kind: store.mapInArrow(_questions(kind, bits), _ASKED).groupBy("piece") for kind in (WORDS, PAIRS)}
+    words = materialise(asked[WORDS].applyInArrow(_count_words, _ANSWERS), "words", "zstd")
+    found = words.agg(*[F.coalesce(F.sum(k), F.lit(0)) for k in ("n", "v", "n1")]).first()
+    totals = Totals(*found)
+    shared, near = None, totals.n * BITS_EACH // 8 <= most_broadcast
+    pairs = materialise(asked[PAIRS].applyInArrow(_build(bits, not near), _ANSWERS), "pairs", "zstd")
+    if near:  # the levels of a pair are at most its count, so the filter has at most BITS_EACH bits for each training token
+        shared = spark.sparkContext.broadcast({r["piece"]: bytes(r["bits"]) for r in pairs.select("piece", "bits").where("bits is not null").collect()})
+    answers = words.unionByName(pairs).where("answer is not null").select("f", "kind", "piece", "answer")
+    ready = materialise(store.groupBy("f").cogroup(answers.groupBy("f")).applyInArrow(_ready(bits, shared), _READY), "ready", "zstd")
+    for table in (store, words, pairs):
+        drop_table(table)
+    if shared is not None:
+        shared.unpersist()
     free_shuffles(spark)
-    keys, many = none, none
-    n1, n2 = pairs.agg(F.coalesce(F.sum("n1"), F.lit(0)), F.coalesce(F.sum("n2"), F.lit(0))).first()
-    discount = n1 / max(n1 + 2 * n2, 1)
-    for r in pairs.select("hot_keys", "hot_n").collect():
-        keys, many = np.concatenate([keys, np.frombuffer(r["hot_keys"], dtype=np.uint64)]), np.concatenate([many, np.frombuffer(r["hot_n"], dtype=np.int64).astype(np.uint64)])
-    order = np.argsort(keys)
-    spelled = write(build(count_names(words, piece_bits(v)), 1 << 62), "names")
-    bloom = share_pieces(spelled, piece_bits(v))
-    shared = Shared(spark, Model(names, counts, bloom, (keys[order], LogBloom.level(many[order])), n, v, once, mass, bits, discount))
-    placed = materialise(texts.mapInArrow(_score_rows(shared), _PLACED), "placed")
-    free_shuffles(spark)
-    more = ask(placed.where("piece is not null").select("uid", *[c.split()[0] for c in _ASKED.split(", ")]), pairs, bits, p1_of_levels((once + 0.5) / (n + once + 1), mass), discount)
-    placed = placed.where("piece is null").drop(*[c.split()[0] for c in _ASKED.split(", ")])
-    tail = placed.select("uid", F.explode("unknown").alias("u")).select("uid", "u.word", "u.tf")
-    count = F.coalesce(F.col("c"), F.lit(0))
-    sums = tail.join(words, "word", "left").groupBy("uid").agg(
-        F.sum(F.col("tf") * F.log10((count + 0.5) / F.lit(n + 0.5 * (v + 1)))).alias("more_base"), F.sum(F.when(count > 0, F.col("tf")).otherwise(0)).alias("more_known")
-    )
-    out = placed.drop("unknown").join(sums, "uid", "left").join(more, "uid", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(int(n)).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"),
-    )
-    first.broadcast.unpersist()
-    return out
+    bins = ready.mapInArrow(_ratios(totals), _BINS).groupBy("level", "bin").agg(F.sum("n").alias("n")).collect()  # a few thousand, whatever the corpus
+    return ready.mapInArrow(_scores(totals, weights(bins)), _SCORES)

@@ -5,6 +5,7 @@ Patterns are read as Unicode with only ``\\n`` as a line end, ``(?uUd)``, and ``
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -64,6 +65,12 @@ def mask_output(text: Column) -> Column:
     return mask_profanity(mask_personal(text))
 
 
+def mask_text(text: str) -> str:
+    """mask_output() of one text, for what a model's answer brings before it is validated."""
+    text = re.sub(fixed.PHONE, "[TELEFONE]", re.sub(fixed.ACCOUNT, "[CONTA]", re.sub(fixed.CPF, "[CPF]", text), flags=re.IGNORECASE))
+    return reduce(lambda t, w: re.sub(f"({w[0]}){w[1:]}", lambda m: m[1] + "*" * (len(w) - 1), t, flags=re.IGNORECASE), fixed.PROFANITIES, text)
+
+
 def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"(?uU)^\s+|\s+$", "")
 
@@ -90,9 +97,13 @@ SQL_LEVEL = f"CASE WHEN {_REGULATOR} THEN {sql_lit(fixed.RISK_CHANNEL[0])} WHEN
 SQL_JUST = f"CASE WHEN {_REGULATOR} THEN {sql_lit(fixed.RISK_CHANNEL[1])} WHEN gatilho IS NOT NULL THEN {sql_lit(fixed.RISK_TRIGGER[1])} || gatilho || {sql_lit(fixed.RISK_TRIGGER[2])} ELSE {sql_lit(fixed.RISK_NONE[1])} END"
 
 
-def sql_action(urgency: str, level: str) -> str:
+def sql_action(urgency: str, level: str, sources: str | None = None) -> str:
+    """``sources``: chunk ids in one string, null for none."""
     cases = " ".join(f"WHEN {urgency} = {sql_lit(k)} THEN {sql_lit(v)}" for k, v in fixed.ACTIONS.items())
-    return f"(CASE {cases} ELSE {sql_lit(fixed.ACTION_ELSE)} END || {sql_lit(fixed.ACTION_NO_SOURCE)} || CASE WHEN {level} IN ('Alto', 'Crítico') THEN {sql_lit(fixed.ACTION_ESCALATE)} ELSE '' END)"
+    source = sql_lit(fixed.ACTION_NO_SOURCE)
+    if sources:
+        source = f"CASE WHEN {sources} IS NULL THEN {source} ELSE {sql_lit(fixed.ACTION_SOURCES)} || {sources} || '.' END"
+    return f"(CASE {cases} ELSE {sql_lit(fixed.ACTION_ELSE)} END || {source} || CASE WHEN {level} IN ('Alto', 'Crítico') THEN {sql_lit(fixed.ACTION_ESCALATE)} ELSE '' END)"
 
 
 def sql_mask_personal(x: str) -> str:

@@ -1,4 +1,7 @@
-"""The row pipeline: guardrail, route, triage, risk, action, masks, result and trace, as one lazy DataFrame without a shuffle."""
+"""The row pipeline: guardrail, route, triage, risk, sources, action, masks, result and trace, as one lazy DataFrame.
+
+Only the sources need shuffles: the terms of a text meet those of the policy. Without them a row never leaves its task.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ouvidor.functions import fixed
 from ouvidor.functions import text as tx
+from ouvidor.operators import retrieval
 from ouvidor.plans.registry import query
 from ouvidor.sources.tables import COMPLAINTS, complaints
 
@@ -29,17 +33,23 @@ def _open(value: Column) -> Column:
     return F.when(c("motivo_bloqueio").isNull(), value)
 
 
-def processed(df: DataFrame) -> DataFrame:
-    """All stages offline: triage defaults unless ``df`` brings a ``classificacao`` struct, heuristic risk, action, output masks."""
+def processed(df: DataFrame, policy: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """All stages offline: triage defaults unless ``df`` brings a ``classificacao`` struct, heuristic risk, action, output masks.
+
+    ``policy`` is an index (weights, idf) that sources are retrieved from, for rows that don't bring theirs as ``fontes``.
+    """
     offline = F.struct(*[F.lit(v).alias(k) for k, v in fixed.OFFLINE.items()])
     given = F.coalesce(c("classificacao"), offline) if "classificacao" in df.columns else offline
     rows = guarded(df).withColumn("classificacao", _open(given)).withColumn("gatilho", tx.risk_trigger(c("texto")))
     rows = rows.withColumns({"risco_nivel": _open(tx.risk_level(c("canal"), c("gatilho"))), "risco_justificativa": _open(tx.mask_output(tx.risk_reason(c("canal"), c("gatilho"))))})
-    act = tx.mask_output(tx.action(c("classificacao.urgencia"), c("risco_nivel")))
+    if policy is not None:
+        rows = retrieval.with_sources(rows, *policy)
+    fontes = _open(c("fontes")) if "fontes" in rows.columns else F.lit(None).cast("array<string>")
+    act = tx.mask_output(tx.action(c("classificacao.urgencia"), c("risco_nivel"), fontes))
     return rows.withColumns({
         "classificacao": c("classificacao").withField("resumo", tx.mask_output(c("classificacao.resumo"))),
         "acao_recomendada": F.when(c("bloqueado"), fixed.BLOCK_ANSWER).otherwise(_open(act)),
-        "politica_contexto_disponivel": F.lit(False),
+        "politica_contexto_disponivel": F.coalesce(F.size(fontes) > 0, F.lit(False)),
         "logs": trace(),
     }).drop("gatilho")
 
@@ -67,9 +77,9 @@ result AS (
   FROM reasoned)"""
 
 
-def results(spark, sf_dir) -> DataFrame:
-    """The result record of every complaint, classification flattened."""
-    done = processed(complaints(spark, sf_dir))
+def results(spark, sf_dir, sources: bool = False) -> DataFrame:
+    """The result record of every complaint, classification flattened; with ``sources`` from the policy if they are asked for."""
+    done = processed(complaints(spark, sf_dir), retrieval.cached_index(spark, sf_dir) if sources else None)
     return done.select("row_idx", "id", "canal", c("produto").alias("produto_original"), "status", "texto", "bloqueado", "motivo_bloqueio", *[c(f"classificacao.{k}").alias(k) for k in fixed.OFFLINE], "risco_nivel", "risco_justificativa", "acao_recomendada", "politica_contexto_disponivel", "logs")
 
 
@@ -135,9 +145,25 @@ def mask_output(spark, sf_dir):
     return complaints(spark, sf_dir).select("id", tx.mask_output(c("texto")).alias("texto"))
 
 
-@query("Q_result", f"WITH {RESULT} SELECT id, canal, produto_original, status, bloqueado, motivo_bloqueio, categoria, produto, sentimento, urgencia, resumo, risco_nivel, risco_justificativa, acao_recomendada, false AS politica_contexto_disponivel, n_logs FROM result")
+_OFFLINE_SAID = "{" + ", ".join(f"'{k}': '{v}'" for k, v in fixed.OFFLINE.items()) + "}"
+SOURCED = f"""WITH {RESULT}, {retrieval.TFIDF},
+qw AS (SELECT row_idx AS q, regexp_extract_all(lower(texto || ' ' || canal || ' ' || {tx.sql_lit(_OFFLINE_SAID)}), '{retrieval.TOKEN}') AS t FROM result WHERE motivo_bloqueio IS NULL),
+{retrieval.RANKED},
+found AS (SELECT q AS row_idx, string_agg('POL-' || item_id, ', ' ORDER BY rank) AS fontes FROM topk WHERE rank <= {fixed.TOP_K} AND score >= {fixed.RELEVANT} GROUP BY q),
+sourced AS (SELECT result.* EXCLUDE (acao_recomendada), fontes, CASE WHEN bloqueado THEN acao_recomendada WHEN motivo_bloqueio IS NULL THEN {tx.sql_action(tx.sql_lit("Baixa"), "risco_nivel", "fontes")} END AS acao_recomendada
+  FROM result LEFT JOIN found USING (row_idx))"""
+
+
+@query("Q_action_sources", f"{SOURCED} SELECT id, acao_recomendada, coalesce(fontes, '') AS fontes FROM sourced")
+def action_sources(spark, sf_dir):
+    """Recommended actions with the policy chunks that they rest on."""
+    done = processed(complaints(spark, sf_dir), retrieval.cached_index(spark, sf_dir))
+    return done.select("id", "acao_recomendada", F.array_join("fontes", ", ").alias("fontes"))
+
+
+@query("Q_result", f"{SOURCED} SELECT id, canal, produto_original, status, bloqueado, motivo_bloqueio, categoria, produto, sentimento, urgencia, resumo, risco_nivel, risco_justificativa, acao_recomendada, fontes IS NOT NULL AS politica_contexto_disponivel, n_logs FROM sourced")
 def result(spark, sf_dir):
-    return results(spark, sf_dir).withColumn("n_logs", F.size("logs")).drop("row_idx", "texto", "logs")
+    return results(spark, sf_dir, sources=True).withColumn("n_logs", F.size("logs")).drop("row_idx", "texto", "logs")
 
 
 @query("Q_trace", f"WITH {RESULT}, t AS (SELECT id, unnest(CASE n_logs WHEN 1 THEN {BLOCKED_TRACE[:1]} WHEN 2 THEN {BLOCKED_TRACE} ELSE {ACCEPTED_TRACE} END) AS agente FROM result) SELECT agente, count(*) AS n FROM t GROUP BY agente")

@@ -56,16 +56,20 @@ def anti_pending(spark, sf_dir):
 def batches(rows: DataFrame, size: int, order: str = "row_idx") -> DataFrame:
     """+ lote: number of the batch of ``size`` rows in input order (size <= 0: one batch).
 
-    Row numbers over everything without one task for all rows: rows are counted by range of the order column, and the
-    counts before a range are added to the number inside it.
+    Row numbers over everything without one task for all rows: rows are counted by range of the order column, ranges by range of
+    ranges, and the counts before a range are added to the number inside it. One task sees a row for each of the larger ranges,
+    of 2 ** 28 numbers.
     """
     if size <= 0:
         return rows.withColumn("lote", F.lit(0).cast("long"))
-    step = 1 << 12
+    step, steps = 1 << 12, 1 << 16
     ranged = rows.withColumn("faixa", F.floor(c(order) / step))
     inside = ranged.withColumn("n", F.row_number().over(Window.partitionBy("faixa").orderBy(order)))
-    starts = ranged.groupBy("faixa").agg(F.count("*").alias("qtd")).withColumn("antes", F.sum("qtd").over(Window.orderBy("faixa").rowsBetween(Window.unboundedPreceding, -1)))
-    numbered = inside.join(starts.select("faixa", F.coalesce("antes", F.lit(0)).alias("antes")), "faixa")
+    before = lambda w: F.coalesce(F.sum("qtd").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = ranged.groupBy("faixa").agg(F.count("*").alias("qtd")).withColumn("bloco", F.floor(c("faixa") / steps))
+    blocks = counts.groupBy("bloco").agg(F.sum("qtd").alias("qtd")).select("bloco", before(Window.orderBy("bloco")).alias("antes_bloco"))
+    starts = counts.select("faixa", "bloco", before(Window.partitionBy("bloco").orderBy("faixa")).alias("antes")).join(blocks, "bloco")
+    numbered = inside.join(starts.select("faixa", (c("antes") + c("antes_bloco")).alias("antes")), "faixa")
     return numbered.withColumn("lote", F.floor((c("antes") + c("n") - 1) / size)).drop("faixa", "n", "antes")
 
 

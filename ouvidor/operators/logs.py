@@ -22,11 +22,6 @@ priced AS (
   FROM calls LEFT JOIN prices p ON contains(lower(modelo), p.key) AND p.ord = (SELECT min(q.ord) FROM prices q WHERE contains(lower(calls.modelo), q.key)))"""
 
 
-def prices(spark) -> DataFrame:
-    rows = [(i, key, name, float(a), float(b)) for i, (key, name, a, b) in enumerate(fixed.PRICES)]
-    return spark.createDataFrame(rows, "ord int, key string, nome string, price_in double, price_out double")
-
-
 def model_calls(log: DataFrame) -> DataFrame:
     """Model calls with a token count, by agent."""
     agents = F.create_map(*[F.lit(x) for kv in fixed.MODEL_ACTIONS.items() for x in kv])
@@ -54,10 +49,10 @@ def by_action(spark, sf_dir):
     return exec_log(spark, sf_dir).groupBy("acao").agg(F.count("*").alias("qtd"), F.min("line_no").alias("primeira")).orderBy(F.desc("qtd"), "primeira")
 
 
-@query("Q_latency_by_action", f"{LOG} SELECT acao, round(avg(duracao_ms), 6) AS media_ms, max(duracao_ms) AS max_ms, count(duracao_ms) AS qtd FROM exec_log WHERE {NOT_SUMMARY} AND duracao_ms IS NOT NULL GROUP BY acao")
+@query("Q_latency_by_action", f"{LOG} SELECT acao, round(avg(duracao_ms), 1) AS media_ms, round(max(duracao_ms), 1) AS max_ms, count(duracao_ms) AS qtd FROM exec_log WHERE {NOT_SUMMARY} AND duracao_ms IS NOT NULL GROUP BY acao")
 def latency(spark, sf_dir):
     rows = exec_log(spark, sf_dir).where(f"{NOT_SUMMARY} and duracao_ms is not null")
-    return rows.groupBy("acao").agg(F.round(F.avg("duracao_ms"), 6).alias("media_ms"), F.max("duracao_ms").alias("max_ms"), F.count("duracao_ms").alias("qtd")).orderBy(F.desc("media_ms"), "acao")
+    return rows.groupBy("acao").agg(F.round(F.avg("duracao_ms"), 1).alias("media_ms"), F.round(F.max("duracao_ms"), 1).alias("max_ms"), F.count("duracao_ms").alias("qtd")).orderBy(F.desc("media_ms"), "acao")
 
 
 _AGENTS = f"""{PRICED}, agents AS (
@@ -98,6 +93,14 @@ def price_theta(spark, sf_dir):
     return priced(exec_log(spark, sf_dir)).select("line_no", "modelo", "price_in", "price_out", F.round("custo", 9).alias("custo"))
 
 
+@query("Q_adhoc_cost", f"{LOG} SELECT execucao_id, CAST(sum(tokens_entrada) AS BIGINT) AS tokens_entrada, CAST(sum(tokens_saida) AS BIGINT) AS tokens_saida, round(sum(tokens_entrada) * {fixed.ADHOC_COST[0]} + sum(tokens_saida) * {fixed.ADHOC_COST[1]}, 6) AS custo FROM exec_log WHERE contains(lower(acao), 'bedrock') AND tokens_total IS NOT NULL GROUP BY execucao_id")
+def adhoc_cost(spark, sf_dir):
+    """Cost of each run at the flat prices per token of the history report, which are not those per million of the dashboard."""
+    calls = exec_log(spark, sf_dir).where(F.contains(F.lower("acao"), F.lit("bedrock")) & c("tokens_total").isNotNull())
+    sums = calls.groupBy("execucao_id").agg(F.sum("tokens_entrada").alias("tokens_entrada"), F.sum("tokens_saida").alias("tokens_saida"))
+    return sums.withColumn("custo", F.round(c("tokens_entrada") * F.lit(fixed.ADHOC_COST[0]) + c("tokens_saida") * F.lit(fixed.ADHOC_COST[1]), 6))
+
+
 @query("Q_cost_format", f"{PRICED} SELECT line_no, CASE WHEN custo <> 0 AND abs(custo) < 0.01 THEN printf('R$ %.4f', custo) ELSE printf('R$ %.2f', custo) END AS custo_fmt FROM (SELECT line_no, round(custo * 100, 2) AS custo FROM priced WHERE custo IS NOT NULL)")
 def cost_format(spark, sf_dir):
     """Cost of a hundred such calls, as money."""
@@ -150,14 +153,13 @@ _DIAG_WHERE = "acao IN (" + ", ".join(f"'{a}'" for a in fixed.MODEL_ACTIONS) + "
 
 
 @query("Q_token_diagnostic", f"""{LOG}, runs AS (
-  SELECT execucao_id, acao, coalesce(erro, '') AS erro, acao = 'erro_pipeline' AND status = 'erro' AS falhou, {_DIAG_WHERE} AS conta, user_llm FROM (SELECT *, line_no % 3 = 0 AS user_llm FROM exec_log) WHERE line_no % 2 = 1 OR NOT ({_DIAG_WHERE})
+  SELECT execucao_id, acao, coalesce(erro, '') AS erro, acao = 'erro_pipeline' AND status = 'erro' AS falhou, {_DIAG_WHERE} AS conta, user_llm FROM (SELECT *, line_no % 3 = 0 AS user_llm FROM exec_log)
 ), a AS (SELECT acao || '/' || execucao_id AS grupo, count(*) FILTER (WHERE conta) AS n, coalesce(bool_or(user_llm), false) AS usar_llm, bool_or(falhou AND contains(lower(erro), 'token from sso')) AS sso, bool_or(falhou) AS falha FROM runs GROUP BY 1)
 SELECT grupo, CASE WHEN n > 0 THEN NULL {_DIAG} ELSE {sql_lit(fixed.DIAGNOSES[3])} END AS diagnostico FROM a""")
 def token_diagnostic(spark, sf_dir):
     """Why a group of log lines shows no tokens: nothing to explain, no model, expired login, failures before, or unknown."""
     counts = c("acao").isin(*fixed.MODEL_ACTIONS) & c("tokens_total").isNotNull()
-    rows = exec_log(spark, sf_dir).where((c("line_no") % 2 == 1) | ~counts)
-    rows = rows.select(F.concat_ws("/", "acao", "execucao_id").alias("grupo"), counts.alias("conta"), (c("line_no") % 3 == 0).alias("usar_llm"), ((c("acao") == "erro_pipeline") & (c("status") == "erro")).alias("falhou"), "erro")
+    rows = exec_log(spark, sf_dir).select(F.concat_ws("/", "acao", "execucao_id").alias("grupo"), counts.alias("conta"), (c("line_no") % 3 == 0).alias("usar_llm"), ((c("acao") == "erro_pipeline") & (c("status") == "erro")).alias("falhou"), "erro")
     return diagnose(rows)
 
 

@@ -92,6 +92,10 @@ def unit(weighted: DataFrame, key: str) -> DataFrame:
     return weighted.join(norms, key).select(key, "term", (c("w") / c("norm")).alias("w"))
 
 
+#: Weights of an index that is broadcast; a larger one is joined by a shuffle on the term.
+MOST_BROADCAST = 1_000_000
+
+
 def index(docs: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """(weights by key and term, idf by term)."""
     tf = frequencies(docs, key)
@@ -99,6 +103,50 @@ def index(docs: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     return unit(tf.join(i, "term").select(key, "term", ((1 + F.log("tf")) * c("idf")).alias("w")), key), i
 
 
+_indexes: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = {}
+
+
+def cached_index(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """index() of the policy, built once for each application and folder; the weights are marked for broadcast if they are few."""
+    name = (spark.sparkContext.applicationId, sf_dir)
+    if name not in _indexes:
+        weights, terms_idf = (x.persist() for x in index(policy(spark, sf_dir), "item_id"))
+        few = weights.count() <= MOST_BROADCAST  # there are no more terms than weights
+        _indexes[name] = (F.broadcast(weights), F.broadcast(terms_idf)) if few else (weights, terms_idf)
+    return _indexes[name]
+
+
+def forget_indexes() -> None:
+    """Drop the cached indexes, as after a change of the policy."""
+    for pair in _indexes.values():
+        for x in pair:
+            x.unpersist()
+    _indexes.clear()
+
+
+def query_text(text: Column, channel: Column, classification: Column) -> Column:
+    """What the policy is asked for a complaint: text, channel and classification as it prints, without the empty ones."""
+    said = F.concat(F.lit("{"), F.concat_ws(", ", *[F.concat(F.lit(f"'{k}': '"), classification[k], F.lit("'")) for k in fixed.OFFLINE]), F.lit("}"))
+    return F.concat_ws(" ", F.when(text != "", text), F.when(channel != "", channel), F.when(classification.isNotNull(), said))
+
+
+def with_sources(rows: DataFrame, weights: DataFrame, terms_idf: DataFrame, prefix: str = "POL-") -> DataFrame:
+    """+ fontes: chunk ids of the policy for every row that has a classification, best first; others have none.
+
+    A row that brings ``fontes`` (found when its batch was made) keeps them, and nothing is looked up for it.
+    """
+    given = "fontes" in rows.columns
+    wanted = c("classificacao").isNotNull() & c("texto").isNotNull()
+    asked = rows.where(wanted & c("fontes").isNull() if given else wanted)
+    asked = asked.select("row_idx", query_text(c("texto"), c("canal"), c("classificacao")).alias("text"))
+    found = retrieve(asked, "row_idx", weights, terms_idf, "item_id", "item_id")
+    best = F.transform(F.array_sort(F.collect_list(F.struct("rank", "item_id"))), lambda x: F.concat(F.lit(prefix), x["item_id"].cast("string")))  # at most k
+    by_row = found.groupBy("row_idx").agg(best.alias("__found"))
+    none = F.array().cast("array<string>")
+    fontes = F.coalesce("fontes", "__found", none) if given else F.coalesce("__found", none)
+    return rows.join(by_row, "row_idx", "left").withColumn("fontes", fontes).drop("__found")
+
+
 def retrieve(queries: DataFrame, key: str, weights: DataFrame, terms_idf: DataFrame, chunk_key: str, order: str, k: int = fixed.TOP_K, least: float = fixed.RELEVANT) -> DataFrame:
     """The best ``k`` chunks of each query, then those of at least ``least``; of equal scores the later chunk first.
     Sparse vectors meet by term: what shares no term is never paired."""
@@ -125,12 +173,14 @@ def tfidf_weights(spark, sf_dir):
     return index(policy(spark, sf_dir), "item_id")[0].withColumn("w", F.round("w", 9))
 
 
-_TOPK = f"""{_TFIDF}, qw AS (SELECT conv_id * 1000 + turn AS q, regexp_extract_all(lower(coalesce(text, '')), '{TOKEN}') AS t FROM conversations WHERE role = 'user'),
-qt AS (SELECT q, unnest(list_concat(t, CASE WHEN len(t) > 1 THEN list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]) ELSE [] END)) AS term FROM qw),
+TFIDF = _TFIDF
+RANKED = r"""qt AS (SELECT q, unnest(list_concat(t, CASE WHEN len(t) > 1 THEN list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]) ELSE [] END)) AS term FROM qw),
 qf AS (SELECT q, term, count(*) AS tf FROM qt GROUP BY ALL), qr AS (SELECT q, term, (1 + ln(tf)) * idf AS w FROM qf JOIN idf USING (term)),
 qn AS (SELECT q, term, w / sqrt(sum(w * w) OVER (PARTITION BY q)) AS w FROM qr),
 s AS (SELECT q, item_id, round(sum(qn.w * weights.w), 6) AS score FROM qn JOIN weights USING (term) GROUP BY q, item_id),
 topk AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, item_id DESC) AS rank FROM s)"""
+_TOPK = f"""{_TFIDF}, qw AS (SELECT conv_id * 1000 + turn AS q, regexp_extract_all(lower(coalesce(text, '')), '{TOKEN}') AS t FROM conversations WHERE role = 'user'),
+{RANKED}"""
 
 
 def user_turns(spark, sf_dir) -> DataFrame:
@@ -138,7 +188,7 @@ def user_turns(spark, sf_dir) -> DataFrame:
 
 
 def top_chunks(spark, sf_dir) -> DataFrame:
-    weights, i = index(policy(spark, sf_dir), "item_id")
+    weights, i = cached_index(spark, sf_dir)
     return retrieve(user_turns(spark, sf_dir), "q", weights, i, "item_id", "item_id")
 
 

@@ -16,7 +16,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ouvidor.llm.common import free_shuffles, materialise, per_text, shuffle_partitions, text_of
@@ -125,8 +125,18 @@ def links(prints: DataFrame, long: int = LONG) -> DataFrame:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, t (the text's hash), fp of every row."""
     udf = per_text(lambda t: (signed(simhash(t)),), "fp long")
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), udf(text_of(text_col))["fp"].alias("fp"))
+    text = text_of(text_col)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("t"), udf(text)["fp"].alias("fp"))
+
+
+def _rooted(docs: DataFrame, id_col: str, text_col: str, long: int) -> tuple[DataFrame, DataFrame]:
+    """(fingerprints of all rows, root of each distinct fingerprint that has a link: fp, root)."""
+    prints = materialise(fingerprints(docs, id_col, text_col), "fingerprints")
+    distinct = materialise(prints.select("fp").distinct(), "distinct")
+    roots = components(links(distinct, long))
+    return prints, roots.select(F.col("node").alias("fp"), "root")
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", long: int = LONG) -> DataFrame:
@@ -135,13 +145,11 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", long
     Null and empty texts have fingerprint 0 and link like any other; repeated rows are kept; a null id is no
     candidate for component_id, which is null where a component has no id at all.
     """
-    prints = materialise(fingerprints(docs, id_col, text_col), "fingerprints")
-    distinct = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    roots = components(links(distinct.select("fp"), long))
-    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    prints, roots = _rooted(docs, id_col, text_col, long)
+    least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    rooted = least.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     first = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_print = rooted.join(first, "root").select("fp", "component_id")
-    out = prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
+    out = prints.join(rooted.join(first, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
     free_shuffles(docs.sparkSession)
     return out
 
@@ -152,13 +160,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return g.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its group, all columns as they were.
-
-    Of rows with one doc_id one stays; rows without an id all stay.
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", long: int = LONG) -> DataFrame:
+    """One row of ``docs`` for each group of linked texts, all columns as they were: the one with the smallest id, of equal ids that
+    whose text has the smallest hash, of whole copies any one. Rows without an id come last. Rows that repeat an id with different texts are
+    documents of their own.
     """
-    gone = groups(docs, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct()
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(id_col).cast("long").alias("__id"))
-    left = rows.join(gone.hint("merge"), "__id", "left_anti")
-    number = F.row_number().over(Window.partitionBy("__id").orderBy("__id"))
-    return left.withColumn("__n", number).where("__n = 1 or __id is null").select("__row.*")
+    prints, roots = _rooted(docs, id_col, text_col, long)
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "t")
+    best = prints.groupBy("fp").agg(F.min(order).alias("r"))  # combined before the shuffle, however large a group is
+    best = best.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("r").alias("r")).select("r.*")
+    copies = prints.groupBy("doc_id", "t").agg(F.count("*").alias("n")).where("n > 1")
+    best = best.join(copies, best["doc_id"].eqNullSafe(copies["doc_id"]) & (best["t"] == copies["t"]), "left").select(best["doc_id"].alias("__id"), best["t"].alias("__t"), F.coalesce("n", F.lit(1)).alias("__n"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
+    keyed = docs.select(row, F.col(id_col).cast("long").alias("i"), F.xxhash64(text_of(text_col)).alias("h"))
+    kept = keyed.join(best, keyed["i"].eqNullSafe(best["__id"]) & (keyed["h"] == best["__t"]))
+    some = kept.where("__n > 1").groupBy("i", "h").agg(F.first("__row").alias("__row")).select("__row.*")
+    return kept.where("__n = 1").select("__row.*").unionByName(some)

@@ -419,8 +419,20 @@ def test_simhash(spark, awkward):
     want = sorted(((i, "%016x" % p, least[g]) for (i, _), p, g in zip(rows, prints, groups)), key=repr)
     assert got(simhash.near_duplicates(df)) == want
     assert simhash.near_duplicates(nothing(spark)).count() == 0
-    kept = [r["doc_id"] for r in simhash.keep_one(df).collect()]
-    assert sorted(x for x in kept if x is not None) == sorted({w[2] for w in want if w[0] is not None}) and None in kept
+    kept = [(r["doc_id"], r["text"]) for r in simhash.keep_one(df).collect()]
+    group_of = {(i, t): g for (i, t), g in zip(rows, groups)}
+    assert sorted(group_of[x] for x in kept) == sorted(set(groups))  # one row of each group
+    assert {least[group_of[x]] for x in kept} == {x[0] for x in kept}
+
+
+def test_keep_one_by_rows(spark):
+    """Ids that repeat with other texts, rows without an id, whole copies."""
+    long = [" ".join(f"w{r}x{i}" for i in range(60)) for r in range(6)]
+    rows = [(1, long[0]), (1, long[1]), (2, long[1]), (2, long[2]), (2, long[2]), (None, long[3]), (None, long[3]), (None, long[0]), (7, None), (8, ""), (9, long[4])]
+    df = spark.createDataFrame([(*x, "k") for x in rows], "doc_id long, text string, fp string").repartition(3)
+    kept = sorted(((r["doc_id"], r["text"]) for r in simhash.keep_one(df).collect()), key=repr)
+    assert kept == sorted([(1, long[0]), (1, long[1]), (2, long[2]), (None, long[3]), (7, None), (9, long[4])], key=repr)
+    assert simhash.keep_one(df).columns == df.columns
 
 
 @pytest.mark.parametrize("long", [4096, 2])

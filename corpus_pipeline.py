@@ -1,7 +1,9 @@
 """The corpus pipeline: quality classifier, quality rules, near-duplicate removal, repeated passages, packing.
 
 Every stage takes (spark, docs, sf_dir) and is judged on its own input; all but the last return the columns of
-``documents``.
+``documents``, and whatever further ones ``docs`` has, names of result columns among them. A null text counts as
+empty, and what the classifier and the rules make of an empty text decides over it; rows that repeat an id are documents of their own, of whole copies one is
+left by the third stage. An empty table gives no rows at any stage.
 """
 
 from __future__ import annotations
@@ -24,12 +26,12 @@ def weak_rules(spark, docs, sf_dir):
 
 
 def near_duplicates(spark, docs, sf_dir):
-    """One document of each group of operator 7 stays, the one with the smallest doc_id."""
+    """One document of each group of operator 7 stays, the one with the smallest doc_id; one without an id where the group has none."""
     return simhash.keep_one(docs)
 
 
 def repeats(spark, docs, sf_dir):
-    """Bytes that operator 3 finds repeated leave the texts, at every place; all documents stay, n_chars follows."""
+    """Bytes that operator 3 finds repeated leave the texts, at every place; all documents stay, n_chars follows, a null text stays null."""
     return suffix.cut(docs)
 
 

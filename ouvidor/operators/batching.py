@@ -6,17 +6,20 @@ import json
 import random
 import time
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ouvidor.functions import fixed
+from ouvidor.functions.text import mask_text
+from ouvidor.operators.complaints import RESULT
 from ouvidor.operators.joins import pending_batches
 from ouvidor.plans.registry import query
 from ouvidor.sources.tables import complaints
 
-#: Token budgets of single triage, single risk, label, and batches of either; temperature is always 0.
+#: Token budgets of single triage, single risk, label, and batches of either, told to a model with each call; temperature is always 0.
 BUDGETS = {"triagem": 400, "risco": 300, "rotulo": 100, "triagem_lote": 4500, "risco_lote": 4500}
 TRIES, WAIT, JITTER = 5, 1.0, 0.5
 
@@ -60,12 +63,19 @@ def bisect(items: list[dict], provider: Provider) -> tuple[dict, dict]:
     return values, errors
 
 
-def run_batches(items: list[dict], size: int, provider: Provider) -> tuple[dict, dict]:
-    values, errors = {}, {}
-    for part in batches_of(items, size):
-        v, e = bisect(part, provider)
-        values |= v
-        errors |= e
+def run_batches(items: list[dict], size: int, provider: Provider, on_done: Callable[[], None] | None = None, workers: int = 1) -> tuple[dict, dict]:
+    """All batches of a list, on up to ``workers`` threads; ``on_done`` is called after each batch, answered or not."""
+    def one(part: list[dict]) -> tuple[dict, dict]:
+        found = bisect(part, provider)
+        if on_done:
+            on_done()
+        return found
+
+    parts, values, errors = batches_of(items, size), {}, {}
+    with ThreadPoolExecutor(max_workers=max(1, min(workers, len(parts)))) as pool:
+        for v, e in pool.map(one, parts):
+            values |= v
+            errors |= e
     return values, errors
 
 
@@ -76,34 +86,49 @@ def json_part(answer: str, opening: str = "[", closing: str = "]"):
     return json.loads(answer[a : b + 1])
 
 
+def triage_fields(row: dict) -> dict:
+    """The five fields of an answered classification; the summary is joined if it is a list, and masked before its length is judged."""
+    summary = row.get("resumo", "")
+    summary = mask_text(" ".join(map(str, summary)) if isinstance(summary, list) else str(summary))
+    checks = {"categoria": fixed.CATEGORIES, "produto": fixed.PRODUCTS, "sentimento": fixed.SENTIMENTS, "urgencia": fixed.URGENCIES}
+    wrong = [k for k, allowed in checks.items() if row.get(k) not in allowed]
+    if wrong or not 1 <= len(summary) <= fixed.SUMMARY_MOST:
+        raise ValueError(f"campos inválidos: {wrong or ['resumo']}")
+    return {k: row[k] for k in checks} | {"resumo": summary}
+
+
 def triage_answer(items: list[dict], answer: str, stop: str | None = None) -> dict:
     """Values by id from a model's answer; a cut or invalid answer, or one that lacks ids, is an error. Extra ids pass."""
     if stop == "max_tokens":
         raise ValueError("resposta truncada (max_tokens)")
     found = {}
     for row in json_part(answer):
-        summary = row.get("resumo", "")
-        summary = " ".join(map(str, summary)) if isinstance(summary, list) else str(summary)
-        checks = {"categoria": fixed.CATEGORIES, "produto": fixed.PRODUCTS, "sentimento": fixed.SENTIMENTS, "urgencia": fixed.URGENCIES}
-        wrong = [k for k, allowed in checks.items() if row.get(k) not in allowed]
-        if wrong or not 1 <= len(summary) <= fixed.SUMMARY_MOST:
-            raise ValueError(f"campos inválidos: {wrong or ['resumo']}")
-        found[str(row["id"])] = {k: row[k] for k in checks} | {"resumo": summary}
+        found[str(row["id"])] = triage_fields(row)
     missing = sorted({i["id"] for i in items} - found.keys())
     if missing:
         raise ValueError(f"ids ausentes: {missing}")
     return found
 
 
-def apply_provider(rows: DataFrame, provider: Provider, batch: str = "lote") -> DataFrame:
-    """(id, ok, value as JSON, error) for rows (id, texto, batch); batches are groups, so they run in parallel. Providers must be idempotent."""
+def apply_provider(rows: DataFrame, provider: Provider, batch: str = "lote", single: Provider | None = None) -> DataFrame:
+    """(id, ok, value as JSON, error) for rows (id, ..., batch), of which a provider gets all columns but the batch.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        items = [{"id": r.id, "texto": r.texto} for r in pdf.sort_values("id").itertuples()]
+    Batches are groups, so they run in parallel. An item that its batch could not answer is asked alone of ``single``. Providers must be idempotent.
+    """
+    schema = pa.schema([("id", pa.string()), ("ok", pa.bool_()), ("valor", pa.string()), ("erro", pa.string())])
+
+    def run(table: pa.Table) -> pa.Table:
+        items = sorted(table.drop_columns([batch]).to_pylist(), key=lambda i: i["id"])
         values, errors = bisect(items, provider)
-        return pd.DataFrame([(i["id"], i["id"] in values, json.dumps(values[i["id"]], ensure_ascii=False) if i["id"] in values else None, errors.get(i["id"])) for i in items], columns=["id", "ok", "valor", "erro"])
+        if single:
+            for item in [i for i in items if i["id"] in errors]:
+                again, errors_again = bisect([item], single)
+                values |= again
+                errors = {k: v for k, v in errors.items() if k not in again} | errors_again
+        rows_ = [(i["id"], i["id"] in values, json.dumps(values[i["id"]], ensure_ascii=False) if i["id"] in values else None, errors.get(i["id"])) for i in items]
+        return pa.Table.from_arrays([pa.array([r[k] for r in rows_], type=f.type) for k, f in enumerate(schema)], schema=schema)
 
-    return rows.groupBy(batch).applyInPandas(run, "id string, ok boolean, valor string, erro string")
+    return rows.groupBy(batch).applyInArrow(run, "id string, ok boolean, valor string, erro string")
 
 
 def offline_provider(items: list[dict]) -> dict:
@@ -113,7 +138,7 @@ def offline_provider(items: list[dict]) -> dict:
     return {i["id"]: fixed.OFFLINE for i in items}
 
 
-@query("Q_provider_bisect")
+@query("Q_provider_bisect", f"WITH {RESULT} SELECT NOT contains(texto, 'fraude') AS ok, CASE WHEN contains(texto, 'fraude') THEN 'recusado' END AS erro, count(*) AS n FROM result WHERE motivo_bloqueio IS NULL GROUP BY ALL")
 def provider_bisect(spark, sf_dir):
     """All accepted complaints through the offline provider in batches of 15: refused and answered ones."""
     texts = complaints(spark, sf_dir).select("id", "texto")
@@ -125,7 +150,7 @@ def risk_answer(items: list[dict], answer: str, stop: str | None = None) -> dict
     """(level, reason) by id from a model's answer; levels are free text, as they come."""
     if stop == "max_tokens":
         raise ValueError("resposta truncada (max_tokens)")
-    found = {str(row["id"]): {"nivel": row["nivel"], "justificativa": row["justificativa"]} for row in json_part(answer)}
+    found = {str(row["id"]): {"nivel": row["nivel"], "justificativa": mask_text(str(row["justificativa"]))} for row in json_part(answer)}
     missing = sorted({i["id"] for i in items} - found.keys())
     if missing:
         raise ValueError(f"ids ausentes: {missing}")
@@ -156,28 +181,41 @@ def embed(rows: DataFrame, provider: Callable[[list[str]], list[list[float]]], t
     return rows.withColumn("embedding", F.arrow_udf(run, returnType="array<float>")(F.substring(F.coalesce(F.col(text_col), F.lit("")), 1, EMBED_CHARS)))
 
 
-def run_batched(rows: DataFrame, triage: Provider, risk: Provider, size: int = 15) -> DataFrame:
+def run_batched(rows: DataFrame, triage: Provider, risk: Provider, size: int = 15, policy=None, one_triage: Provider | None = None, one_risk: Provider | None = None) -> DataFrame:
     """The batched run: complaints that pass the guardrail are classified in batches, those classified get a risk in batches
-    (else the heuristic one), and everything ends in the result record. A refused triage is a failure of its row."""
+    (else the heuristic one), and everything ends in the result record. What a batch can't answer is asked alone of ``one_triage``
+    and ``one_risk``; a triage that is refused then too is a failure of its row.
+
+    A risk provider sees text, classification, heuristic level and, with an index as ``policy``, the chunk ids of the policy, which
+    the record's action then cites without a second retrieval.
+    """
     from pyspark.sql import types as T
 
     from ouvidor.functions import text as tx
+    from ouvidor.operators import retrieval
     from ouvidor.operators.complaints import guarded, processed
     from ouvidor.operators.joins import batches
 
     kind = T.StructType([T.StructField(k, T.StringType()) for k in fixed.OFFLINE])
     open_rows = guarded(rows).where("motivo_bloqueio is null").select("row_idx", "id", "texto")
-    answered = apply_provider(batches(open_rows, size), triage)
+    answered = apply_provider(batches(open_rows, size).select("id", "texto", "lote"), triage, single=one_triage)
     classified = answered.select("id", F.from_json("valor", kind).alias("classificacao"), F.col("erro").alias("erro_triagem"))
-    again = batches(open_rows.join(classified.where("erro_triagem is null").select("id"), "id"), size)
-    level = apply_provider(again, risk).where("ok").select("id", F.get_json_object("valor", "$.nivel").alias("n"), F.get_json_object("valor", "$.justificativa").alias("j"))
-    done = processed(rows.join(classified, "id", "left")).join(level, "id", "left")
+    known = rows.select("row_idx", "id", "canal", "texto").join(classified.where("erro_triagem is null").drop("erro_triagem"), "id")
+    if policy is not None:
+        known = retrieval.with_sources(known, *policy)
+    else:
+        known = known.withColumn("fontes", F.array().cast("array<string>"))
+    gatilho = tx.risk_trigger(F.col("texto"))
+    items = batches(known, size).select("id", "texto", "classificacao", tx.risk_level(F.col("canal"), gatilho).alias("nivel_heuristico"), F.col("fontes").alias("fontes_politica"), "lote")
+    level = apply_provider(items, risk, single=one_risk).where("ok").select("id", F.get_json_object("valor", "$.nivel").alias("n"), F.get_json_object("valor", "$.justificativa").alias("j"))
+    sourced = classified.join(known.select("id", "fontes"), "id", "left")
+    done = processed(rows.join(sourced, "id", "left")).join(level, "id", "left")
     failed = F.col("erro_triagem").isNotNull()
     nivel = F.when(~failed, F.coalesce("n", "risco_nivel"))
     return done.withColumns({
         "motivo_bloqueio": F.when(failed, F.concat(F.lit(fixed.ERROR_PREFIX), "erro_triagem")).otherwise(F.col("motivo_bloqueio")),
         "risco_justificativa": F.when(~failed, F.when(F.col("n").isNotNull(), tx.mask_output(F.col("j"))).otherwise(F.col("risco_justificativa"))),
-        "acao_recomendada": F.when(F.col("bloqueado"), fixed.BLOCK_ANSWER).otherwise(F.when(nivel.isNotNull(), tx.mask_output(tx.action(F.col("classificacao.urgencia"), nivel)))),
+        "acao_recomendada": F.when(F.col("bloqueado"), fixed.BLOCK_ANSWER).otherwise(F.when(nivel.isNotNull(), tx.mask_output(tx.action(F.col("classificacao.urgencia"), nivel, F.col("fontes"))))),
         "classificacao": F.when(~failed, F.col("classificacao")),
         "risco_nivel": nivel,
-    }).drop("n", "j", "erro_triagem")
+    }).drop("n", "j", "erro_triagem", "fontes")

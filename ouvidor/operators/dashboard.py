@@ -96,3 +96,44 @@ def render(df) -> str:
     cards = "".join(f"<li>{escape(name)}: {k[name]}</li>" for name in k.asDict())
     bars = "".join(f"<tr><td>{escape(r['painel'])}</td><td>{escape(r['valor'])}</td><td>{r['qtd']}</td></tr>" for r in all_panels(df).orderBy("painel", F.desc("qtd"), "primeira").collect())
     return f"<html><body><ul>{cards}</ul><table>{bars}</table></body></html>"
+
+
+def report(df) -> str:
+    """Console report of a run: totals, then each panel's values with their numbers."""
+    k = _kpis(df).first().asDict()
+    lines = [f"{name}: {value}" for name, value in k.items()]
+    for r in all_panels(df).orderBy("painel", F.desc("qtd"), "primeira").collect():
+        lines.append(f"  {r['painel']:<12} {r['valor']:<24} {r['qtd']}")
+    return "\n".join(lines)
+
+
+def render_log(log, top: int = 20) -> str:
+    """HTML page of an execution log (the columns of exec_log): cards, actions, latency, tokens by agent or why there are none, slowest and
+    most expensive calls, errors by time. Every table is an aggregate or a stated top."""
+    from html import escape
+
+    from ouvidor.operators import logs
+
+    rows = log.where(logs.NOT_SUMMARY)
+    total, errors = log.agg(F.count("*"), F.count_if(c("status") == "erro")).first()
+    shown = lambda x: "—" if x is None else escape(f"{x:.1f}" if isinstance(x, float) else str(x))
+
+    def table_(title: str, frame) -> str:
+        found = frame.collect()
+        head = "".join(f"<th>{escape(n)}</th>" for n in frame.columns)
+        body = "".join("<tr>" + "".join(f"<td>{shown(x)}</td>" for x in r) + "</tr>" for r in found)
+        return f"<h2>{escape(title)}</h2><table><tr>{head}</tr>{body}</table>" if found else ""
+
+    timed = rows.where("duracao_ms is not null")
+    agents = logs.agents(log).drop("preco_indisponivel").orderBy(F.desc("tokens_total"))
+    calls = logs.model_calls(log)
+    parts = [
+        f"<ul><li>linhas: {total}</li><li>erros: {errors}</li><li>taxa de erro: {errors * 100 / total if total else 0:.1f} %</li></ul>",
+        table_("Ações", log.groupBy("acao").agg(F.count("*").alias("qtd")).orderBy(F.desc("qtd"), "acao")),
+        table_("Latência", timed.groupBy("acao").agg(F.round(F.avg("duracao_ms"), 1).alias("media_ms"), F.round(F.max("duracao_ms"), 1).alias("max_ms"), F.count("*").alias("qtd")).orderBy(F.desc("media_ms"), "acao")),
+        table_("Tokens por agente", agents),
+        table_("Mais tokens", calls.select("line_no", "acao", "tokens_total").orderBy(F.desc("tokens_total"), "line_no").limit(top)),
+        table_("Mais lentas", timed.select("line_no", "acao", "duracao_ms").orderBy(F.desc("duracao_ms"), "line_no").limit(top)),
+        table_("Erros", log.where("status = 'erro'").select("timestamp", "acao", "erro").orderBy("timestamp").limit(top)),
+    ]
+    return "<html><body>" + "".join(parts) + "</body></html>"

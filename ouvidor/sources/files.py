@@ -54,6 +54,68 @@ def run_id(prefix: str = "execucao") -> str:
     return f"{prefix}_{datetime.now():%Y%m%d-%H%M%S}"
 
 
+class Run:
+    """The log of a run, opened by its first line. Lines are kept on the driver until ``flush`` or the end appends them to the run's folder;
+    lines of tasks are DataFrames and go through ``append``."""
+
+    def __init__(self, spark: SparkSession, path: str, prefix: str = "execucao", most: int = 1000):
+        self.spark, self.path, self.prefix, self.most, self.id, self.lines = spark, path, prefix, most, None, []
+
+    def start(self) -> str:
+        """Open a run (the one before it ends); its id is the local time."""
+        self.end()
+        self.id = run_id(self.prefix).removeprefix(self.prefix + "_")
+        return self.id
+
+    def record(self, acao: str, status: str = "ok", duracao_ms: float | None = None, reclamacao_id: str | None = None, detalhes: dict | None = None, nivel: str = "INFO", tipo: str = "acao") -> None:
+        """One line; ``tipo`` "resumo" is for totals of the run, which are no action's latency."""
+        import json
+        from datetime import datetime, timezone
+
+        if self.id is None:
+            self.start()
+        self.lines.append((datetime.now(timezone.utc).isoformat(), nivel, acao, tipo, reclamacao_id, status, duracao_ms, json.dumps(detalhes or {}, ensure_ascii=False)))
+        if len(self.lines) >= self.most:
+            self.flush()
+
+    def append(self, lines: DataFrame) -> None:
+        if self.id is None:
+            self.start()
+        append_log(lines, self.path, self.id)
+
+    def flush(self) -> None:
+        if self.lines:
+            rows = self.spark.createDataFrame(self.lines, "timestamp string, nivel string, acao string, tipo string, reclamacao_id string, status string, duracao_ms double, d string")
+            details = "struct<" + ", ".join(f"{a}:{b}" for a, b in (x.split() for x in DETAILS.split(", "))) + ">"
+            self.lines = []
+            append_log(rows.withColumn("detalhes", F.from_json("d", details)).drop("d").coalesce(1), self.path, self.id)
+
+    def end(self) -> None:
+        """Write what is left and close the run; without an open run nothing happens."""
+        if self.id is not None:
+            self.flush()
+        self.id = None
+
+    @property
+    def folder(self) -> str | None:
+        return f"{self.path}/execucao_id={self.id}" if self.id else None
+
+    def __enter__(self) -> Run:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.end()
+
+
+def remove_named(names: list[str], prefix: str, remove=None) -> list[str]:
+    """The names with a prefix, each given to ``remove`` if there is one (without it nothing is deleted). The service behind it isn't part of this."""
+    found = [n for n in names if n.startswith(prefix)]
+    if remove:
+        for name in found:
+            remove(name)
+    return found
+
+
 def pdf_pages(spark: SparkSession, path: str) -> DataFrame:
     """(page, text) of every PDF at ``path``; needs pypdf on the executors, which is not part of this image."""
 

@@ -12,8 +12,11 @@ Shared contract of every operator here
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
+import weakref
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +27,7 @@ from ouvidor.sources.tables import spread
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 _CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _made: dict[str, list[str]] = {}
+_paths: dict[int, tuple] = {}  # of frames that are still referenced
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -49,19 +53,22 @@ def materialise(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
         df.write.parquet(path, compression=codec)
     finally:
         spark.conf.unset(_CLEAN_UP) if before is None else spark.conf.set(_CLEAN_UP, before)
+    if not _made:
+        atexit.register(_release_at_exit)
     _made.setdefault(spark.sparkContext.applicationId, []).append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[id(out)] = (weakref.ref(out, lambda _, key=id(out): _paths.pop(key, None)), path)
+    return out
 
 
 def drop_table(df: DataFrame) -> None:
-    """Delete the scratch table behind a materialised frame once nothing reads it any more."""
+    """Delete the scratch table behind a frame that materialise() returned, once nothing reads it any more; other frames have none."""
     spark = df.sparkSession
+    found, path = _paths.get(id(df), (lambda: None, None))
     made = _made.get(spark.sparkContext.applicationId, [])
-    for file in df.inputFiles()[:1]:
-        folder = file.rsplit("/", 1)[0]
-        for path in [p for p in made if p.rsplit("/", 1)[-1] == folder.rsplit("/", 1)[-1]]:
-            _delete(spark, path)
-            made.remove(path)
+    if found() is df and path in made:
+        _delete(spark, path)
+        made.remove(path)
 
 
 def release(spark: SparkSession) -> None:
@@ -70,6 +77,14 @@ def release(spark: SparkSession) -> None:
         _delete(spark, path)
 
 
+def _release_at_exit() -> None:
+    """What results may still have read goes with the driver's process, if its session is open then."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        with contextlib.suppress(Exception):  # the session's JVM may be gone
+            release(spark)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)

@@ -251,6 +251,19 @@ def test_chat(spark):
     assert chat.preference_pairs(spark.createDataFrame([], df.schema)).count() == 0
 
 
+def test_chat_long(spark):
+    """A turn of a megabyte, conversations of thousands of turns."""
+    big = "ç" * 500_000 + "<|"
+    turns = [(c, t, "user" if t % 2 == 0 else "assistant", f"turn {t}") for c in (0, 1) for t in range(3000)]
+    rows = [*turns, (1, 3000, "user", "more"), (2, 0, "user", big), (3, 0, "user", big), (3, 1, "assistant", big)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    r = {x["pair_id"]: x for x in chat.preference_pairs(df).collect()}
+    assert (r[0]["n_prompt_turns"], r[0]["n_chosen_turns"], r[0]["n_rejected_turns"]) == (3000, 0, 1)
+    assert (r[1]["n_prompt_turns"], r[1]["n_chosen_turns"], r[1]["n_rejected_turns"]) == (1, 0, 1)
+    assert len(r[1]["prompt"]) == len(r[1]["rejected"]) - len("assistant") + len("user") > 500_000 and r[1]["chosen"] == ""
+    assert sum(int(m.split(":")[0]) for m in r[1]["rejected_mask"].split(",")) == len(r[1]["rejected"])
+
+
 def test_chat_oracle(spark, small):
     duck = duckdb.connect()
     duck.sql(f"CREATE VIEW conversations AS SELECT * FROM '{small}/conversations.parquet'")

@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from ouvidor.sources.tables import spread
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
-_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a scratch table is written: shuffle files go with the write, and texts reach Python a few at a time, as a batch is held by the JVM and by Python.
+_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
 _made: dict[str, list[str]] = {}
 _paths: dict[int, tuple] = {}  # of frames that are still referenced
 
@@ -43,16 +44,17 @@ def scratch_root(spark: SparkSession) -> str:
 
 def materialise(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Write ``df`` once to a table in the shared scratch folder and read it back: the lineage ends there,
-    so work before it runs once and a lost executor costs no more than the stage it was in. Spark is asked to
-    delete the shuffle files of the write once it is done."""
+    so work before it runs once and a lost executor costs no more than the stage it was in."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/ouvidor-tables/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEAN_UP, None)
-    spark.conf.set(_CLEAN_UP, "true")
+    before = {k: spark.conf.get(k, None) for k in _WRITING}
     try:
+        for k, v in _WRITING.items():
+            spark.conf.set(k, v)
         df.write.parquet(path, compression=codec)
     finally:
-        spark.conf.unset(_CLEAN_UP) if before is None else spark.conf.set(_CLEAN_UP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     if not _made:
         atexit.register(_release_at_exit)
     _made.setdefault(spark.sparkContext.applicationId, []).append(path)

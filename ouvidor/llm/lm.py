@@ -16,7 +16,8 @@ Every word and every pair of neighbouring words of the training texts is counted
 counts are exact but for their collisions; a pair is known by 40 bits within its piece of the filter.
 
 Texts are read once, in flushes of about ``FLUSH`` tokens. A flush is stored as tokens and asks for its distinct words and pairs, dealt by
-hash to pieces; the questions carry the flush's training counts, so that a piece sums them up, and answers. The
+hash to pieces; the questions carry the flush's training counts, so that a piece sums them up, and answers. There are so many pieces that about
+``PIECE_TOKENS`` tokens ask one, whatever the corpus; a flush asks for a word once, however frequent it is. The
 pieces of the filter are broadcast where their proven bound, BITS_EACH bits for each training token, is at most
 ``MOST_BROADCAST``. Beyond that each piece is probed in the task that builds it, by the questions dealt to it, and levels go back to the flushes.
 Both ways probe the same filter and give the same scores.
@@ -38,7 +39,7 @@ from ouvidor.llm.words import hash_words, mix
 
 GROWTH, HASHES, BITS_EACH, MOST_BROADCAST = 1.5, 6, 20, 64 << 20
 FLUSH, BATCH_BYTES, CHUNK = 1 << 19, 1 << 16, 1 << 14  # tokens, bytes, and keys or tokens at a time in the processor's cache
-KEY_BITS = 40
+KEY_BITS, MOST_BITS, PIECE_TOKENS = 40, 22, 1 << 22  # of a pair's key, of a piece's number; tokens that may ask one piece
 STEP, SPREAD = 0.02, 10.0  # bins of the logarithm of p2 / p1, and how far they go
 _U = np.uint64
 END = _U(0xE4D0F7E47)  # stands for the end of a text; a word has this hash once in 2 ** 64
@@ -149,7 +150,7 @@ def pieces_of(keys: np.ndarray, bits: int):
     return [(p, a, b) for p, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
 
 
-_STORE = "f long, docs binary, words binary, tokens binary"
+_STORE = "f long, n long, docs binary, words binary, tokens binary"
 _ASKED = "f long, piece int, keys binary, n binary, more binary"
 WORDS, PAIRS = 1, 2
 DOC = np.dtype([("id", "<i8"), ("has_id", "u1"), ("held", "u1"), ("n", "<i8")])
@@ -175,7 +176,7 @@ def _store_rows(batches):
         about = np.zeros(len(docs), dtype=DOC)
         about["id"], about["has_id"], about["held"], about["n"] = [d[0] or 0 for d in docs], [d[0] is not None for d in docs], [d[1] for d in docs], sizes
         planes = rank[at].view(np.uint8).reshape(-1, 4).T  # all lowest bytes, then all second ones, ...: the higher ones are mostly 0
-        return batch_of(_STORE, f=[f], docs=[about.tobytes()], words=[words[order].tobytes()], tokens=[planes.tobytes()])
+        return batch_of(_STORE, f=[f], n=[len(tokens)], docs=[about.tobytes()], words=[words[order].tobytes()], tokens=[planes.tobytes()])
 
     base, flushes, docs, parts, count = TaskContext.get().partitionId() << 32, 0, [], [], 0
     rows = ((d, o, t) for b in batches for d, o, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strings(b.column(2))))
@@ -202,7 +203,7 @@ def _questions(kind: int, bits: int):
 
     def run(batches):
         for batch in batches:
-            for f, *columns in zip(*(c.to_pylist() for c in batch.columns)):
+            for f, _, *columns in zip(*(c.to_pylist() for c in batch.columns)):
                 docs, words, at = _open(*columns)
                 train = np.repeat(docs["held"] == 0, docs["n"])
                 if kind == WORDS:
@@ -400,16 +401,21 @@ def in_fold(id_col: str, fold: int = 1) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.lit(5)) == fold
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_broadcast: int = MOST_BROADCAST) -> DataFrame:
+def piece_bits(tokens: int, partitions: int, most: int = PIECE_TOKENS) -> int:
+    """Bits of a piece's number: a piece for each partition at least, and so many that about ``most`` tokens ask one (up to 2 ** MOST_BITS pieces)."""
+    return min(MOST_BITS, max(3, (partitions - 1).bit_length(), (-(-tokens // most) - 1).bit_length()))
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_broadcast: int = MOST_BROADCAST, piece_tokens: int = PIECE_TOKENS) -> DataFrame:
     """One row a document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Null and empty texts are the end alone; a null id counts as the text '' for the fold; repeated rows are
     trained on and scored each. Without training texts every base term is log10(1), and every token has the probability 1/2.
     """
     spark = docs.sparkSession
-    bits = max(3, (shuffle_partitions(spark) - 1).bit_length())
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), in_fold(id_col).alias("held_out"), text_of(text_col).alias("text"))
     store = materialise(texts.mapInArrow(_store_rows, _STORE), "store", "zstd")
+    bits = piece_bits(store.agg(F.sum("n")).first()[0] or 0, shuffle_partitions(spark), piece_tokens)
     asked = {kind: store.mapInArrow(_questions(kind, bits), _ASKED).groupBy("piece") for kind in (WORDS, PAIRS)}
     words = materialise(asked[WORDS].applyInArrow(_count_words, _ANSWERS), "words", "zstd")
     found = words.agg(*[F.coalesce(F.sum(k), F.lit(0)) for k in ("n", "v", "n1")]).first()

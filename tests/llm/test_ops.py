@@ -701,6 +701,15 @@ def test_lm_packs_what_it_sends():
     assert share[2] == 0 and 0.4 < share[3] < 0.5 and share[4] == share[3] and share[7] == 1e-6  # max of .5 log(1 - L) + .5 log(1 + 9 L) is at 4 / 9
 
 
+def test_lm_pieces_follow_the_corpus(spark):
+    """The number of pieces grows with the tokens, and scores don't depend on it but for false positives."""
+    assert [lm.piece_bits(n, 8) for n in (0, 1, 8 * lm.PIECE_TOKENS, 8 * lm.PIECE_TOKENS + 1, 1000 * lm.PIECE_TOKENS)] == [3, 3, 3, 4, 10]
+    assert lm.piece_bits(1 << 60, 8) == lm.MOST_BITS and lm.piece_bits(0, 200) == 8
+    df = spark.createDataFrame([(i, f"palavra w{i % 9} x{i % 7} fim") for i in range(300)], "doc_id long, text string")
+    few, many = ({x["doc_id"]: x["score"] for x in lm.score(df, most_broadcast=most, piece_tokens=n).collect()} for most, n in ((0, lm.PIECE_TOKENS), (0, 10)))
+    assert few.keys() == many.keys() and sum(abs(few[i] - many[i]) < 1e-9 for i in few) >= 290
+
+
 def test_lm_enters_all_words_and_pairs(spark):
     r = random.Random(3)
     follows = [f"w{i}" for i in range(4000)]

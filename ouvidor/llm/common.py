@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from ouvidor.sources.tables import spread
 
+MOST_BITS = 22  # of a piece's number
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 #: While a scratch table is written: shuffle files go with the write, and texts reach Python a few at a time, as a batch is held by the JVM and by Python.
 _WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
@@ -133,3 +134,8 @@ def per_text(row, schema: str):
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def piece_bits(spark: SparkSession, total: int, each: int) -> int:
+    """Bits of a hash range's number: so many ranges that one has about ``each`` of ``total``, and one for each shuffle partition at least."""
+    return min(MOST_BITS, max(3, (shuffle_partitions(spark) - 1).bit_length(), (-(-total // each) - 1).bit_length()))

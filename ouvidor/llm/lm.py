@@ -33,13 +33,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ouvidor.llm.common import drop_table, free_shuffles, materialise, shuffle_partitions, strings, text_of
+from ouvidor.llm.common import drop_table, free_shuffles, materialise, piece_bits, strings, text_of
 from ouvidor.llm.words import batches as grouped
 from ouvidor.llm.words import hash_words, mix
 
 GROWTH, HASHES, BITS_EACH, MOST_BROADCAST = 1.5, 6, 20, 64 << 20
 FLUSH, BATCH_BYTES, CHUNK = 1 << 19, 1 << 16, 1 << 14  # tokens, bytes, and keys or tokens at a time in the processor's cache
-KEY_BITS, MOST_BITS, PIECE_TOKENS = 40, 22, 1 << 22  # of a pair's key, of a piece's number; tokens that may ask one piece
+KEY_BITS, PIECE_TOKENS = 40, 1 << 22  # tokens that ask one piece
 STEP, SPREAD = 0.02, 10.0  # bins of the logarithm of p2 / p1, and how far they go
 _U = np.uint64
 END = _U(0xE4D0F7E47)  # stands for the end of a text; a word has this hash once in 2 ** 64
@@ -401,11 +401,6 @@ def in_fold(id_col: str, fold: int = 1) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.lit(5)) == fold
 
 
-def piece_bits(tokens: int, partitions: int, most: int = PIECE_TOKENS) -> int:
-    """Bits of a piece's number: a piece for each partition at least, and so many that about ``most`` tokens ask one (up to 2 ** MOST_BITS pieces)."""
-    return min(MOST_BITS, max(3, (partitions - 1).bit_length(), (-(-tokens // most) - 1).bit_length()))
-
-
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_broadcast: int = MOST_BROADCAST, piece_tokens: int = PIECE_TOKENS) -> DataFrame:
     """One row a document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -415,7 +410,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), in_fold(id_col).alias("held_out"), text_of(text_col).alias("text"))
     store = materialise(texts.mapInArrow(_store_rows, _STORE), "store", "zstd")
-    bits = piece_bits(store.agg(F.sum("n")).first()[0] or 0, shuffle_partitions(spark), piece_tokens)
+    bits = piece_bits(spark, store.agg(F.sum("n")).first()[0] or 0, piece_tokens)
     asked = {kind: store.mapInArrow(_questions(kind, bits), _ASKED).groupBy("piece") for kind in (WORDS, PAIRS)}
     words = materialise(asked[WORDS].applyInArrow(_count_words, _ANSWERS), "words", "zstd")
     found = words.agg(*[F.coalesce(F.sum(k), F.lit(0)) for k in ("n", "v", "n1")]).first()

@@ -23,7 +23,8 @@ taken for such a one where a flush holds more than ``FREQUENT`` contexts of it (
 don't meet in one task) or where more than ``SPLIT`` meet. Of equal suffixes in a batch one is dealt, so a passage in
 a third of all texts is as many entries as there are batches.
 
-Everything between these steps travels in packed arrays, a row for each flush and hash range.
+Everything between these steps travels in packed arrays, a row for each flush and hash range. There are so many ranges (pieces) that
+about ``PIECE_BYTES`` of text are anchored in one, whatever the corpus.
 """
 
 from __future__ import annotations
@@ -37,11 +38,11 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ouvidor.llm.common import drop_table, free_shuffles, materialise, shuffle_partitions, strings, text_of
+from ouvidor.llm.common import drop_table, free_shuffles, materialise, piece_bits, strings, text_of
 from ouvidor.llm.words import mix
 
 LENGTH, GRAM, FREQUENT, SPLIT = 200, 48, 64, 512
-BUFFER, COMBINE, SORTED, SLICE = 1 << 16, 100_000, 1 << 18, 1000
+BUFFER, COMBINE, SORTED, SLICE, PIECE_BYTES = 1 << 16, 100_000, 1 << 18, 1000, 1 << 25
 _BASE = 0x9E3779B97F4A7C15 | 1
 _U = np.uint64
 _LETTERS = np.random.default_rng(11).integers(1, 2**63, 256, dtype=np.int64).astype(np.uint64) * _U(2) + _U(1)
@@ -546,9 +547,10 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("id"), F.xxhash64(text).alias("t"), text.alias("text"))
 
 
-def _find(docs: DataFrame, id_col: str, text_col: str, length: int, gram: int, frequent: int, split: int, groups: bool) -> DataFrame:
+def _find(docs: DataFrame, id_col: str, text_col: str, length: int, gram: int, frequent: int, split: int, groups: bool, piece_bytes: int = PIECE_BYTES) -> DataFrame:
     spark = docs.sparkSession
-    bits = max(3, (shuffle_partitions(spark) - 1).bit_length())  # a piece for each partition or up to twice as many
+    total = docs.agg(F.sum(F.octet_length(text_of(text_col)))).first()[0] or 0
+    bits = piece_bits(spark, total, piece_bytes)
     texts = keyed(docs, id_col, text_col)
     marks = materialise(texts.mapInArrow(_mark_rows(length, gram, bits, frequent), _MARKS), "marks")
     met = materialise(marks.where("piece is not null").select("f", "piece", "entries").groupBy("piece").applyInArrow(_meet(split), _MET), "met")
@@ -569,9 +571,9 @@ def _find(docs: DataFrame, id_col: str, text_col: str, length: int, gram: int, f
     return out
 
 
-def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, frequent: int = FREQUENT, split: int = SPLIT) -> DataFrame:
+def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, frequent: int = FREQUENT, split: int = SPLIT, piece_bytes: int = PIECE_BYTES) -> DataFrame:
     """The maximal repeated runs of all texts of ``docs`` that have some: id, t (the text's hash), spans (packed SPAN)."""
-    found = _find(docs, id_col, text_col, length, gram, frequent, split, False)
+    found = _find(docs, id_col, text_col, length, gram, frequent, split, False, piece_bytes)
     return found.groupBy("id", "t").agg(F.max("spans").alias("spans"))  # repeated rows have the same
 
 

@@ -14,7 +14,7 @@ import pytest
 import xxhash
 
 os.environ["TOKENIZERS_PARALLELISM"] = "false"
-from ouvidor.llm import bpe, chat, classifier, components, counts, lm, packing, rules, simhash, sketch, suffix  # noqa: E402
+from ouvidor.llm import bpe, chat, classifier, common, components, counts, lm, packing, rules, simhash, sketch, suffix  # noqa: E402
 from ouvidor.llm.queries import QUERIES  # noqa: E402
 
 JSON, RANKS = P.path("byte_bpe_50k.json"), P.path("byte_bpe_multi_50k.tiktoken")
@@ -163,6 +163,7 @@ def test_suffix_dedup_passages(spark, frequent, split):
     rows += [(100, "ab" * 400), (101, "b" * 150), (102, "b" * 150), (103, "ba" * 120), (104, rows[3][1]), (105, rows[3][1])]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     assert got(suffix.removals(df, frequent=frequent, split=split)) == brute_removals(rows, 200)
+    assert got(suffix.removals(df, frequent=frequent, split=split, piece_bytes=20)) == brute_removals(rows, 200)  # hundreds of pieces
     cut = {x["doc_id"]: x["text"] for x in suffix.cut(df, frequent=frequent, split=split).collect()}
     assert {i: len(t.encode()) for i, t in cut.items()} == {w[0]: w[1] - w[2] for w in brute_removals(rows, 200)}
 
@@ -703,8 +704,9 @@ def test_lm_packs_what_it_sends():
 
 def test_lm_pieces_follow_the_corpus(spark):
     """The number of pieces grows with the tokens, and scores don't depend on it but for false positives."""
-    assert [lm.piece_bits(n, 8) for n in (0, 1, 8 * lm.PIECE_TOKENS, 8 * lm.PIECE_TOKENS + 1, 1000 * lm.PIECE_TOKENS)] == [3, 3, 3, 4, 10]
-    assert lm.piece_bits(1 << 60, 8) == lm.MOST_BITS and lm.piece_bits(0, 200) == 8
+    least = max(3, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
+    assert [common.piece_bits(spark, n, 10) for n in (0, 1, 10 << least, (10 << least) + 1, 1000 * 10 << least)] == [least, least, least, least + 1, least + 10]
+    assert common.piece_bits(spark, 1 << 60, 10) == common.MOST_BITS
     df = spark.createDataFrame([(i, f"palavra w{i % 9} x{i % 7} fim") for i in range(300)], "doc_id long, text string")
     few, many = ({x["doc_id"]: x["score"] for x in lm.score(df, most_broadcast=most, piece_tokens=n).collect()} for most, n in ((0, lm.PIECE_TOKENS), (0, 10)))
     assert few.keys() == many.keys() and sum(abs(few[i] - many[i]) < 1e-9 for i in few) >= 290

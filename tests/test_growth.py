@@ -14,6 +14,28 @@ def vectors_of(spark, x, parts=4):
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(parts)
 
 
+def test_kmeans_sends_a_row_for_each_fit(spark, monkeypatch):
+    sent = []
+    for name in ("toPandas", "toArrow"):
+        kind = type(spark.range(1))
+        take = getattr(kind, name)
+        monkeypatch.setattr(kind, name, lambda df, take=take: sent.append(take(df)) or sent[-1])
+    monkeypatch.setattr(clustering, "START_ROWS", 20)
+    x = np.random.default_rng(1).normal(size=(400, 3))
+    grid = clustering.fit_grid(vectors_of(spark, x, 16), [2, 3], starts_each=4)
+    assert grid["k"].tolist() == [2, 3] and max(len(t) for t in sent[1:]) <= 8
+    x = x.astype("float32").astype(float)
+    for r in grid.itertuples():
+        assert abs(((x[:, None] - r.centres) ** 2).sum(axis=2).min(axis=1).sum() / r.inercia - 1) < 1e-9
+
+
+def test_starts_come_from_the_rows_of_smallest_hash(spark):
+    df = vectors_of(spark, np.arange(60).reshape(30, 2))
+    want = df.orderBy(F.xxhash64("vec_id")).limit(7).toPandas()["embedding"].tolist()
+    assert clustering.start_sample(df, 7).tolist() == want
+    assert len(clustering.start_sample(df, 50)) == 30 and not len(clustering.start_sample(df.where("false"), 7))
+
+
 @pytest.mark.parametrize("most", [20, 4096])
 def test_silhouettes_by_blocks_that_follow_the_rows(spark, monkeypatch, most):
     monkeypatch.setattr(clustering, "BLOCK_ROWS", most)

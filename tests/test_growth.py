@@ -1,12 +1,16 @@
 """What a step holds, sends or does again does not grow faster than its input."""
 
+import re
+import time
 import tracemalloc
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from ouvidor.functions import text as tx
 from ouvidor.operators import clustering
+from ouvidor.sources.tables import PHRASES, complaints
 
 
 def vectors_of(spark, x, parts=4):
@@ -61,3 +65,30 @@ def test_blocks_meet_in_tiles():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 16e6 and abs(sums[5, 1] - np.sqrt(((x[1::4] - x[5]) ** 2).sum(axis=1)).sum()) < 1e-6
+
+
+def test_gate_hides_no_suspicious_passage(spark, small):
+    old = "(?iuUd)" + tx.ANY_SUSPICIOUS
+    # every alternative begins as the gate has it, in capitals and with letters that fold to ASCII ones too
+    letters = sorted({x for w, _ in tx._beginnings(tx.sre_parse.parse(tx.ANY_SUSPICIOUS)) for x in w})
+    fold = lambda x: "^[" + re.escape(x) + re.escape(x.upper()) + tx.FOLDS.get(x, "") + "]$"
+    chars = spark.range(1, 0x30000).where("id not between 55296 and 57343").select(F.expr("decode(unhex(lpad(hex(id), 8, '0')), 'UTF-32')").alias("x"))
+    differ = [F.count_if(F.col("x").rlike("(?iuUd)^" + re.escape(x) + "$") != F.col("x").rlike(fold(x))).alias(str(i)) for i, x in enumerate(letters)]
+    assert set(chars.agg(*differ).first()) == {0}
+    texts = [x for p in PHRASES for x in (p, p.upper(), "zz" + p, "(" + p.replace("s", "\u017f").replace("i", "\u0131"))] + ["quadra compliance", "dr. x compliance", "DRA.\u00a0x ti", "n\u00e3o precisa mascarar", "sem\u2003filtro", "qrcode", "bearer x", None]
+    df = spark.createDataFrame([(x,) for x in texts], "t string").unionByName(complaints(spark, small).select(F.col("texto").alias("t")))
+    both = df.select(F.regexp_extract("t", old, 0).alias("a"), tx.suspicious_match(F.col("t")).alias("b")).toPandas()
+    assert (both["a"].fillna("-") == both["b"].fillna("-")).all() and (both["a"].fillna("") != "").sum() > 60
+
+
+def test_gate_saves_most_of_the_guardrail(spark):
+    def seconds(pattern):
+        compiled, text = spark._jvm.java.util.regex.Pattern.compile(pattern), "a reclamação do cliente segue aberta em nossos registros e espera resposta " * 4000
+        best = []
+        for _ in range(3):
+            began = time.perf_counter()
+            assert not compiled.matcher(text).find()
+            best.append(time.perf_counter() - began)
+        return min(best)
+
+    assert seconds(tx.GATED) * 2 < seconds("(?iuUd)" + tx.ANY_SUSPICIOUS)

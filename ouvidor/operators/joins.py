@@ -58,15 +58,17 @@ def batches(rows: DataFrame, size: int, order: str = "row_idx") -> DataFrame:
 
     Row numbers over everything without one task for all rows: rows are counted by range of the order column, ranges by range of
     ranges, and the counts before a range are added to the number inside it. One task sees a row for each of the larger ranges,
-    of 2 ** 28 numbers.
+    of 2 ** 28 numbers. What the rows come from is computed once: both uses read one exchange, which the optimizer shares only if
+    both need all columns and the same filters, so the counts come with a hash of them, and no join key can be null (rows
+    without an order come first).
     """
     if size <= 0:
         return rows.withColumn("lote", F.lit(0).cast("long"))
-    step, steps = 1 << 12, 1 << 16
-    ranged = rows.withColumn("faixa", F.floor(c(order) / step))
+    step, steps = 12, 16  # bits
+    ranged = rows.withColumn("faixa", F.coalesce(F.shiftright(c(order).cast("long"), step), F.lit(-(1 << 62)))).repartition("faixa")
     inside = ranged.withColumn("n", F.row_number().over(Window.partitionBy("faixa").orderBy(order)))
     before = lambda w: F.coalesce(F.sum("qtd").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    counts = ranged.groupBy("faixa").agg(F.count("*").alias("qtd")).withColumn("bloco", F.floor(c("faixa") / steps))
+    counts = ranged.groupBy("faixa").agg(F.count("*").alias("qtd"), F.max(F.xxhash64(*rows.columns)).alias("h")).where("h is not null").select("faixa", "qtd", F.shiftright("faixa", steps).alias("bloco"))
     blocks = counts.groupBy("bloco").agg(F.sum("qtd").alias("qtd")).select("bloco", before(Window.orderBy("bloco")).alias("antes_bloco"))
     starts = counts.select("faixa", "bloco", before(Window.partitionBy("bloco").orderBy("faixa")).alias("antes")).join(blocks, "bloco")
     numbered = inside.join(starts.select("faixa", (c("antes") + c("antes_bloco")).alias("antes")), "faixa")
@@ -76,8 +78,9 @@ def batches(rows: DataFrame, size: int, order: str = "row_idx") -> DataFrame:
 _BATCHED = f"{ROWS}, b AS (SELECT id, (row_number() OVER (ORDER BY row_idx) - 1) // 15 AS lote FROM result WHERE motivo_bloqueio IS NULL)"
 
 
-def pending_batches(spark, sf_dir, size: int = 15) -> DataFrame:
-    return batches(guarded(complaints(spark, sf_dir)).where("motivo_bloqueio is null").select("row_idx", "id"), size)
+def pending_batches(spark, sf_dir, size: int = 15, also: tuple = ()) -> DataFrame:
+    """(row_idx, id, *also, lote) of the accepted complaints."""
+    return batches(guarded(complaints(spark, sf_dir)).where("motivo_bloqueio is null").select("row_idx", "id", *also), size)
 
 
 @query("Q_batches", f"{_BATCHED} SELECT id, lote FROM b")

@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from ouvidor.functions import text as tx
-from ouvidor.operators import clustering
+from ouvidor.operators import clustering, joins
+from ouvidor.plans.all import QUERIES
 from ouvidor.sources.tables import PHRASES, complaints
 
 
@@ -92,3 +93,18 @@ def test_gate_saves_most_of_the_guardrail(spark):
         return min(best)
 
     assert seconds(tx.GATED) * 2 < seconds("(?iuUd)" + tx.ANY_SUSPICIOUS)
+
+
+@pytest.mark.parametrize("name", ["Q_batches", "Q_missing_ids"])
+def test_guardrail_runs_once(spark, small, name):
+    df = QUERIES[name](spark, small)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert len(re.findall(r"Generate explode\(array\(regexp_extract\(", plan)) == 1
+
+
+def test_batch_numbers_of_far_and_missing_orders(spark):
+    at = [None, -5000, -1, 0, 4095, 4096, 5000, 1 << 29, (1 << 29) + 1]
+    df = spark.createDataFrame([(x, str(i)) for i, x in enumerate(at)][::-1], "row_idx long, id string")
+    got = {r["id"]: r["lote"] for r in joins.batches(df, 2).collect()}
+    assert got == {str(i): i // 2 for i in range(len(at))}

@@ -98,9 +98,8 @@ def missing_ids(spark, sf_dir):
 
 @query("Q_union_tasks", f"{ROWS} SELECT id, 'bloqueada' AS tarefa FROM result WHERE motivo_bloqueio IS NOT NULL UNION ALL SELECT id, 'pendente' FROM result WHERE motivo_bloqueio IS NULL")
 def union_tasks(spark, sf_dir):
-    rows = guarded(complaints(spark, sf_dir))
-    tagged = lambda where, tag: rows.where(where).select("id", F.lit(tag).alias("tarefa"))
-    return tagged("motivo_bloqueio is not null", "bloqueada").unionByName(tagged("motivo_bloqueio is null", "pendente"))
+    """Every complaint with its task, in one pass: each is in one branch of the union."""
+    return guarded(complaints(spark, sf_dir)).select("id", F.when(c("motivo_bloqueio").isNotNull(), "bloqueada").otherwise("pendente").alias("tarefa"))
 
 
 def answers(spark, sf_dir) -> DataFrame:

@@ -95,7 +95,7 @@ def test_gate_saves_most_of_the_guardrail(spark):
     assert seconds(tx.GATED) * 2 < seconds("(?iuUd)" + tx.ANY_SUSPICIOUS)
 
 
-@pytest.mark.parametrize("name", ["Q_batches", "Q_missing_ids", "Q_provider_bisect"])
+@pytest.mark.parametrize("name", ["Q_batches", "Q_missing_ids", "Q_provider_bisect", "Q_union_tasks"])
 def test_guardrail_runs_once(spark, small, name):
     df = QUERIES[name](spark, small)
     df.collect()

@@ -108,3 +108,18 @@ def test_batch_numbers_of_far_and_missing_orders(spark):
     df = spark.createDataFrame([(x, str(i)) for i, x in enumerate(at)][::-1], "row_idx long, id string")
     got = {r["id"]: r["lote"] for r in joins.batches(df, 2).collect()}
     assert got == {str(i): i // 2 for i in range(len(at))}
+
+
+def test_clustering_vectors_shuffle_no_texts(spark, monkeypatch):
+    monkeypatch.setattr(clustering, "BATCH_WORDS", 7)
+    texts = ["um cartao cartao fatura", None, "", "de para", "juros cartao juros juros", "fatura azul"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "row_idx long, texto string").coalesce(1)
+    v = clustering.tfidf_vectors(df, 3)  # juros and cartao 3 times, fatura twice
+    assert "Exchange" not in v._jdf.queryExecution().executedPlan().toString()
+    got = {r["vec_id"]: r["embedding"] for r in v.collect()}
+    two, one = np.log(7 / 3) + 1, np.log(7 / 2) + 1  # cartao, fatura; juros
+    want = {0: [2 * two, two, 0], 1: [0] * 3, 2: [0] * 3, 3: [0] * 3, 4: [two, 0, 3 * one], 5: [0, 1, 0]}
+    assert got.keys() == want.keys()
+    for i, w in want.items():
+        assert np.allclose(got[i], np.array(w) / max(np.linalg.norm(w), 1e-300), atol=1e-12)
+    assert len(clustering.tfidf_vectors(df.where("false"), 3).collect()) == 0

@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from ouvidor.functions import text as tx
-from ouvidor.operators import clustering, joins
+from ouvidor.operators import clustering, joins, retrieval
+from ouvidor.operators.complaints import processed
 from ouvidor.plans.all import QUERIES
 from ouvidor.sources.tables import PHRASES, complaints
 
@@ -95,7 +96,7 @@ def test_gate_saves_most_of_the_guardrail(spark):
     assert seconds(tx.GATED) * 2 < seconds("(?iuUd)" + tx.ANY_SUSPICIOUS)
 
 
-@pytest.mark.parametrize("name", ["Q_batches", "Q_missing_ids", "Q_provider_bisect", "Q_union_tasks"])
+@pytest.mark.parametrize("name", ["Q_batches", "Q_missing_ids", "Q_provider_bisect", "Q_union_tasks", "Q_result", "Q_action_sources"])
 def test_guardrail_runs_once(spark, small, name):
     df = QUERIES[name](spark, small)
     df.collect()
@@ -123,3 +124,13 @@ def test_clustering_vectors_shuffle_no_texts(spark, monkeypatch):
     for i, w in want.items():
         assert np.allclose(got[i], np.array(w) / max(np.linalg.norm(w), 1e-300), atol=1e-12)
     assert len(clustering.tfidf_vectors(df.where("false"), 3).collect()) == 0
+
+
+def test_small_and_large_indexes_give_the_same_sources(spark, small, monkeypatch):
+    index = retrieval.index(retrieval.policy(spark, small), "item_id")
+    df = processed(complaints(spark, small), index).select("row_idx", "fontes")
+    assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
+    near = {r["row_idx"]: r["fontes"] for r in df.collect()}
+    monkeypatch.setattr(retrieval, "LOCAL_CELLS", 0)
+    far = {r["row_idx"]: r["fontes"] for r in processed(complaints(spark, small), index).select("row_idx", "fontes").collect()}
+    assert near == far and sum(map(bool, far.values())) > 20

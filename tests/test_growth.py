@@ -134,3 +134,13 @@ def test_small_and_large_indexes_give_the_same_sources(spark, small, monkeypatch
     monkeypatch.setattr(retrieval, "LOCAL_CELLS", 0)
     far = {r["row_idx"]: r["fontes"] for r in processed(complaints(spark, small), index).select("row_idx", "fontes").collect()}
     assert near == far and sum(map(bool, far.values())) > 20
+
+
+def test_cluster_run_sends_a_row_for_each_fit(spark, monkeypatch):
+    sent, kind = [], type(spark.range(1))
+    for name in ("toPandas", "toArrow"):
+        take = getattr(kind, name)
+        monkeypatch.setattr(kind, name, lambda df, take=take: sent.append(take(df)) or sent[-1])
+    rows = [(i, f"r{i}", f"cartao{i % 3} fatura{i % 4}") for i in range(24)]
+    clustering.cluster_run(spark.createDataFrame(rows, "row_idx long, id string, texto string").repartition(8))
+    assert max(len(t) for t in sent) <= 90

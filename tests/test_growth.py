@@ -5,6 +5,7 @@ import time
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -96,6 +97,57 @@ def test_gate_saves_most_of_the_guardrail(spark):
     assert seconds(tx.GATED) * 2 < seconds("(?iuUd)" + tx.ANY_SUSPICIOUS)
 
 
+def test_places_hide_no_suspicious_passage(spark, small):
+    # what the pattern over bytes has for a letter and for white space is what matches them
+    letters = sorted({x.lower() for x in tx.ANY_SUSPICIOUS if x.isalpha()})
+    listed = lambda x: "^" + tx._one_of({x}) + "$"
+    chars = spark.range(1, 0x30000).where("id not between 55296 and 57343").select(F.expr("decode(unhex(lpad(hex(id), 8, '0')), 'UTF-32')").alias("x"))
+    differ = [F.count_if(F.col("x").rlike("(?iuUd)^" + x + "$") != F.col("x").rlike(listed(x))).alias(str(i)) for i, x in enumerate(letters)]
+    space = F.count_if(F.col("x").rlike(r"(?uUd)^\s$") != F.col("x").isin(list(tx.SPACES))).alias("space")
+    assert set(chars.agg(*differ, space).first()) == {0}
+    far = "\U0001f600" * 40
+    texts = [f"gerente {far}ti", f"gerente \n{far}", f"cpf{far[:20]}conta", "xsystem prompt e o system prompt", "\u00e9system prompt", "e\u0301system prompt", "\u0301system prompt", " \u0301system prompt", "x" * 99 + " prompt de sistema"]
+    texts += ["bearer \U0001f600", "", None, *(space.join(["a", "sem", "filtro"]) for space in tx.SPACES), *(p.upper() for p in PHRASES)]
+    df = spark.createDataFrame([(x,) for x in texts], "t string").unionByName(complaints(spark, small).select(F.col("texto").alias("t")))
+    # bytes that are no UTF-8: each is a character to the pattern
+    broken = ["64722e20" + "ff" * 40 + "636f6d706c69616e6365", "63706620" + "e282" * 10 + "636f6e7461", "ff73656d2066696c74726f", "62656172657220c3"]
+    df = df.unionByName(spark.createDataFrame([(x,) for x in broken], "h string").select(F.unhex("h").cast("string").alias("t")))
+    both = df.select(F.regexp_extract("t", "(?iuUd)" + tx.ANY_SUSPICIOUS, 0).alias("a"), tx.suspicious_match(F.col("t")).alias("b"))
+    found = [(r["a"], r["b"]) for r in both.select(F.col("a").cast("binary"), F.col("b").cast("binary")).collect()]
+    assert all(a == b for a, b in found) and sum(bool(a) for a, _ in found) > 100
+
+
+def test_places_are_those_of_each_row():
+    texts = pa.array(["calma", "o system prompt", None, "", "\u00e9system prompt", "sem filtro"])
+    assert tx.places()(texts).to_pylist() == [-1, 1, None, -1, 0, 0]
+    assert tx.places()(texts[1:3]).to_pylist() == [1, None] and tx.places()(texts[2:3]).to_pylist() == [None] and len(tx.places()(texts[:0])) == 0
+
+
+def test_guardrail_reads_a_calm_text_in_one_pass(spark):
+    text = "a reclamação do cliente segue aberta em nossos registros e espera resposta " * 4000
+    compiled, batch, places = spark._jvm.java.util.regex.Pattern.compile(tx.GATED), pa.array([text]), tx.places()
+
+    def seconds(run):
+        best = []
+        for _ in range(5):
+            began = time.perf_counter()
+            run()
+            best.append(time.perf_counter() - began)
+        return min(best)
+
+    assert places(batch).to_pylist() == [-1]
+    assert seconds(lambda: places(batch)) * 3 < seconds(lambda: compiled.matcher(text).find())
+
+
+@pytest.mark.parametrize("name", ["Q_dash_kpis", "Q_dash_dist_sentimento"])
+def test_dashboards_try_the_pattern_only_where_a_passage_can_begin(spark, small, name):
+    df = QUERIES[name](spark, small)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert len(re.findall(r"Generate explode\(array\(regexp_extract\(CASE WHEN \(pythonUDF", plan)) == 1
+    assert len(re.findall(r"ArrowEvalPython", plan)) == 1
+
+
 @pytest.mark.parametrize("name", ["Q_batches", "Q_missing_ids", "Q_provider_bisect", "Q_union_tasks", "Q_result", "Q_action_sources"])
 def test_guardrail_runs_once(spark, small, name):
     df = QUERIES[name](spark, small)

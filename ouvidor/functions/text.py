@@ -141,9 +141,9 @@ def block_reason(text: Column, match: Column | None = None) -> Column:
 
 
 def risk_trigger(text: Column) -> Column:
-    """The first trigger of the list that the text contains; null if none."""
-    lower = F.lower(text)
-    return F.coalesce(*[F.when(F.contains(lower, F.lit(t)), F.lit(t)) for t in fixed.TRIGGERS])
+    """The first trigger of the list that the text contains; null if none. The text is an array's one element, so it is lowered once for all triggers."""
+    first = lambda lower: F.coalesce(*[F.when(F.contains(lower, F.lit(t)), F.lit(t)) for t in fixed.TRIGGERS])
+    return F.transform(F.array(F.lower(text)), first)[0]
 
 
 def risk_level(channel: Column, trigger: Column) -> Column:

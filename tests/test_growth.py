@@ -9,6 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from ouvidor.functions import fixed
 from ouvidor.functions import text as tx
 from ouvidor.operators import clustering, joins, retrieval
 from ouvidor.operators.complaints import processed
@@ -148,6 +149,15 @@ def test_dashboards_try_the_pattern_only_where_a_passage_can_begin(spark, small,
     assert len(re.findall(r"ArrowEvalPython", plan)) == 1
 
 
+def test_kpis_lower_a_text_once_for_all_triggers(spark, small):
+    df = QUERIES["Q_dash_kpis"](spark, small)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("lower(") == 1
+    texts = [f"a {t.upper()} b" for t in fixed.TRIGGERS] + ["hac\u212aer", "viol\u00eanc\u0130a", "fiz boletim", "ameaca e fraude", "", None]
+    got = spark.createDataFrame(list(enumerate(texts)), "i long, t string").orderBy("i").select(tx.risk_trigger(F.col("t")).alias("g")).collect()
+    assert [r["g"] for r in got] == [*fixed.TRIGGERS, "hacker", None, None, "fraude", None, None]
+
+
 @pytest.mark.parametrize("name", ["Q_batches", "Q_missing_ids", "Q_provider_bisect", "Q_union_tasks", "Q_result", "Q_action_sources"])
 def test_guardrail_runs_once(spark, small, name):
     df = QUERIES[name](spark, small)

@@ -77,7 +77,7 @@ def _one_of(chars) -> str:
 
 def _over_bytes(items: list) -> str:
     """A pattern of RE2 over bytes, of UTF-8 or not, that matches wherever the parsed one begins to, and at more places: boundaries
-    are left out, and a character that is not listed is any bytes."""
+    are left out, a character that is not listed is any bytes, and so is an operation that is not known here."""
     out = []
     for op, value in items:
         if op is C.LITERAL:
@@ -95,8 +95,10 @@ def _over_bytes(items: list) -> str:
             if one == f"{ANY_BYTE}{{1,{CHAR_BYTES}}}":
                 one, high = ANY_BYTE, high if high is C.MAXREPEAT else CHAR_BYTES * high
             out.append(f"(?:{one}){{{low},{'' if high is C.MAXREPEAT else high}}}")
-        elif op is not C.AT:
+        elif op in (C.ANY, C.IN, C.NOT_LITERAL):
             out.append(f"{ANY_BYTE}{{1,{CHAR_BYTES}}}")
+        elif op is not C.AT:
+            out.append(f"{ANY_BYTE}*")  # whatever it is, it takes some bytes or none
     return "".join(out)
 
 

@@ -124,6 +124,11 @@ def test_places_are_those_of_each_row():
     assert tx.places()(texts[1:3]).to_pylist() == [1, None] and tx.places()(texts[2:3]).to_pylist() == [None] and len(tx.places()(texts[:0])) == 0
 
 
+@pytest.mark.parametrize("pattern, text", [("a.*?b", "xa" + "\u00e9" * 9 + "b"), ("a(?=bc)b", "xab"), ("a[^x]{2}b", "xa\u00e9\u00e9b"), ("a[0-9]b", "xa5b"), (r"a(b)\1c", "xabbc"), ("a(?!b)c", "xac")])
+def test_places_of_any_kind_of_pattern(pattern, text):
+    assert tx.places(tx._over_bytes(tx.sre_parse.parse(pattern)))(pa.array([text])).to_pylist() == [0]
+
+
 def test_guardrail_reads_a_calm_text_in_one_pass(spark):
     text = "a reclamação do cliente segue aberta em nossos registros e espera resposta " * 4000
     compiled, batch, places = spark._jvm.java.util.regex.Pattern.compile(tx.GATED), pa.array([text]), tx.places()
